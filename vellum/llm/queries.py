@@ -2,20 +2,108 @@
 
 from __future__ import annotations
 
-from vellum.llm._shared import table
+from pyspark.sql import functions as F
+
+from vellum.llm._shared import settle, table
 
 QUERIES: dict = {}
 #: None of the ten is given as SQL: signatures, tokenizers, EM and retrieval are tested against brute force instead.
 SQL: dict = {}
 
+BYTE_BPE = "byte_bpe_50k.json"
+UNIGRAM_PIECES = "piece_bpe_32k.model"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def query(f):
     QUERIES[f.__name__] = f
     return f
 
 
+@query
+def op1_embedding_near_dedup(spark, sf_dir):
+    from vellum.llm.embed_dedup import embedding_dedup
+
+    return embedding_dedup(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+@query
+def op2_quality_rules(spark, sf_dir):
+    from vellum.llm.quality_rules import quality_rules
+
+    out = quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality", "pattern")
+
+
+@query
+def op3_token_orc(spark, sf_dir):
+    import uuid
+
+    from vellum.llm._shared import scratch
+    from vellum.llm.token_orc import read_tokens, token_digest, write_tokens
+
+    to = f"{scratch(spark)}/vellum/tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), to, tokenizer_path(BYTE_BPE), end_id=0)
+    return token_digest(read_tokens(spark, to))
+
+
+@query
+def op4_chat_format(spark, sf_dir):
+    from vellum.llm.chat_format import chat_digest, format_chats
+
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_digest(settle(format_chats(turns), "chats"))
+
+
+@query
+def op5_suffix_dedup(spark, sf_dir):
+    from vellum.llm.suffix_dedup import suffix_dedup
+
+    out = suffix_dedup(table(spark, sf_dir, "documents"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_language_id(spark, sf_dir):
+    from vellum.llm.language_id import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    langs, model = learn(docs.where(~held_out).select("text", "lang"))
+    return identify(docs.select("doc_id", "text"), langs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_langs")
+
+
 @query
 def op7_minhash_near_dedup(spark, sf_dir):
     from vellum.llm.minhash_dedup import minhash_dedup
 
     return minhash_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+@query
+def op8_source_mixing(spark, sf_dir):
+    from vellum.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_token_counts(spark, sf_dir):
+    from vellum.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(UNIGRAM_PIECES))
+
+
+@query
+def op10_lexical_packing(spark, sf_dir):
+    from vellum.llm.packing import pack_documents
+
+    out = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), end_id=1)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
