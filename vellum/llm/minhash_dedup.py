@@ -159,7 +159,8 @@ def _full(words: int, lower: bool):
 def _tried(docs: DataFrame, dealt: DataFrame, words: int, lower: bool, percent: int, hashes: int) -> DataFrame:
     """Links among ``dealt(node, part, chunk, side, had)``, whose full sets are made from the texts of docs."""
     places = dealt.groupBy("node").agg(F.collect_set(F.struct("part", "chunk", "side", "had")).alias("places"))
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(places, "node")
+    # the same join at every size: a broadcast that only fits small inputs is no plan for large ones
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(places.hint("merge"), "node")
     sets = texts.select("node", "text", "places").mapInArrow(_full(words, lower), "node long, places array<struct<part:long,chunk:long,side:int,had:long>>, shingles binary")
     rows = sets.select("node", "shingles", F.explode("places").alias("p")).select("node", "p.*", "shingles")
     return rows.repartition("part", "chunk").sortWithinPartitions("part", "chunk").mapInArrow(_verify(percent, hashes), "a long, b long")
