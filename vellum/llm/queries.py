@@ -67,7 +67,7 @@ def op5_suffix_dedup(spark, sf_dir):
     from vellum.llm.suffix_dedup import suffix_dedup
 
     out = suffix_dedup(table(spark, sf_dir, "documents"), length=200)
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @query

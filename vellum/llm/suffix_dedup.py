@@ -335,15 +335,15 @@ def _bounded_groups(batches, most: int):
         yield pa.concat_tables(held), n <= most
 
 
-_CUT = "doc_id long, key long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+_CUT = "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
 
 def _cut(batches):
-    """Texts without their merged spans."""
+    """Texts without their merged spans, and what is carried along."""
     for b in batches:
         n_bytes, removed, spans, kept = [], [], [], []
-        marks = b.column(3)
-        for i, _, buf, offs in slices(b.column(2)):
+        marks = b.column(2)
+        for i, _, buf, offs in slices(b.column(1)):
             for d in range(len(offs) - 1):
                 body = buf[offs[d] : offs[d + 1]]
                 m = marks[i + d]
@@ -364,16 +364,17 @@ def _cut(batches):
                 spans.append([{"start": s, "end": e} for s, e in own])
                 kept.append(body[stay].tobytes() if own else body.tobytes())
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
-            names=["doc_id", "key", "n_bytes", "n_removed", "spans", "kept"],
+            [b.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
+            names=["row", "n_bytes", "n_removed", "spans", "kept"],
         )
 
 
 def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 64, most: int = 4096) -> DataFrame:
-    """(doc_id, key, n_bytes, n_removed, spans, kept) of ``docs(doc_id, text)``: texts without bytes inside repeated strings.
+    """(row, n_bytes, n_removed, spans, kept) of ``docs(doc_id, text)``: texts without bytes inside repeated strings.
 
-    ``kept`` is the remaining UTF-8 bytes as they are (a cut may fall inside a character),
-    ``spans`` the maximal removed runs, ``key`` a hash of id and text that names the row.
+    ``row`` is a struct of all columns of docs but the text. ``kept`` is the remaining
+    UTF-8 bytes as they are (a cut may fall inside a character), ``spans`` the maximal
+    removed runs.
     Strings are judged on the input, never across documents; a string may repeat within
     its own document. Texts below ``length`` bytes, empty and null texts (empty) stay
     whole. Repeated rows are copies of each other. doc_id may be null. No rows give none.
@@ -382,8 +383,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 64, most: int =
         raise ValueError("length must be in 33..1000 and gram in 8..length - 32")
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    docs = docs.select(row, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
     found = docs.select("key", "text").mapInArrow(_anchored(length, gram), "anchor long, whole long, key long, span long")
     kinds = found.repartition("anchor").sortWithinPartitions("anchor", "whole").mapInArrow(_decided, "key long, anchor long, span long, kind int")
     kinds = settle(kinds, "suffix-kinds")
@@ -399,4 +400,5 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 64, most: int =
     full = kinds.where("kind <> 1").select("key", start.alias("s"), (start + F.shiftright("span", 10).bitwiseAND(1023) + length).alias("e"))
     spans = full.unionByName(sorted_.where("e IS NOT NULL").select("key", "s", "e")).unionByName(wide)
     marks = spans.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
-    return docs.join(marks, "key", "left").select("doc_id", "key", "text", "marks").mapInArrow(_cut, _CUT)
+    cut = docs.join(marks, "key", "left").select("row", "text", "marks")
+    return cut.mapInArrow(_cut, f"row {cut.schema['row'].dataType.simpleString()}, {_CUT}")
