@@ -103,7 +103,7 @@ def running_header_removal(spark, sf_dir):
 
 @query(r"""
     WITH l AS (SELECT doc_id, unnest(string_split('Chapter ' || doc_id || chr(10) || 'XIV.' || chr(10) || upper(left(text, 20)) || chr(10) || text, chr(10))) AS x FROM documents),
-    f AS (SELECT doc_id, regexp_matches(x, '(?i)^(chapter|part|book|volume)\s+([ivxlcdm]+|[0-9]+|[a-z]+)($|[^\p{L}\p{N}_])') AS chapter, regexp_matches(x, '(?i)^[ivxlcdm]{1,8}\.?\s*$') AS roman, regexp_matches(x, '^[0-9]{1,3}\.?\s*$') AS number,
+    f AS (SELECT doc_id, regexp_matches(x, '(?i)^(chapter|part|book|volume)\s+([ivxlcdm]+|[0-9]+|[a-z]+)($|[^\p{L}\p{N}_])') AS chapter, regexp_matches(x, '^[IVXLCDM]{1,8}\.?\s*$') AS roman, regexp_matches(x, '^[0-9]{1,3}\.?\s*$') AS number,
         regexp_matches(x, '\p{Lu}') AND NOT regexp_matches(x, '[\p{Ll}\p{Lt}]') AND len(regexp_extract_all(x, '\S+')) <= 8 AS caps, length(x) AS n FROM l)
     SELECT doc_id, count(*) AS lines, count(*) FILTER (chapter) AS chapters, count(*) FILTER (roman) AS romans, count(*) FILTER (number) AS numbers, count(*) FILTER (n BETWEEN 1 AND 150 AND (chapter OR roman OR number OR caps)) AS headings FROM f GROUP BY doc_id""")
 def line_shape(spark, sf_dir):

@@ -26,7 +26,7 @@ MOJIBAKE = [
 ]
 SOFT_HYPHEN = "­"
 CHAPTER = r"(?i)^(chapter|part|book|volume)\s+([ivxlcdm]+|\p{Nd}+|[a-z]+)(?U)\b"
-ROMAN_ALONE = r"(?i)^[ivxlcdm]{1,8}\.?\s*$"
+ROMAN_ALONE = r"^[IVXLCDM]{1,8}\.?\s*$"
 NUMBER_ALONE = r"^\p{Nd}{1,3}\.?\s*$"
 DINKUS = r"^\s*(\*\s*){3,}\s*$"
 THOUGHT = r"(?iU)\b(she|he|they|i)\s+(thought|wondered|realized|remembered|knew|felt)\b"
@@ -117,6 +117,7 @@ def is_chapter(x: Column) -> Column:
 
 def is_heading(x: Column) -> Column:
     """A line that looks like a heading: short, and a chapter mark, a lone numeral or up to eight words of capitals."""
+    x = strip(x)
     marked = x.rlike(CHAPTER) | x.rlike(ROMAN_ALONE) | x.rlike(NUMBER_ALONE)
     return (F.length(x) > 0) & (F.length(x) <= 150) & (marked | (is_upper(x) & (n_words(x) <= 8)))
 

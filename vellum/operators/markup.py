@@ -170,7 +170,7 @@ def used_tokens(block: DataFrame, keys: list[str]) -> DataFrame:
 
 REPAIRED = "struct<html:string,changed:boolean,steps:array<string>>"
 _CHAPTER = re.compile(r"^(chapter|part|book|volume)\s+([ivxlcdm]+|\d+|[a-z]+)\b", re.I)
-_ALONE = re.compile(r"^([IVXLCDM]{1,8}\.?|\d{1,3}\.?)\s*$", re.I)
+_ALONE = re.compile(r"^([IVXLCDM]{1,8}\.?|\d{1,3}\.?)\s*$")
 _STARS = re.compile(r"^\s*(\*\s*){3,}\s*$")
 
 
