@@ -16,8 +16,10 @@ first gathered where they can meet:
    by binary search for their longest common extension on prefix polynomial hashes, so a
    comparison takes a logarithmic number of steps. Neighbours in that order which agree
    on ``length`` bytes by hash are compared byte by byte before they count.
-3. A key with more than ``most`` blocks isn't sorted in one task: its windows are
-   counted by hash with partial aggregation instead.
+3. What is hot isn't gathered in one task. Anchors with more than ``hot`` runs are judged
+   by counts of equal runs instead of as a stream, and their undecided runs, like keys
+   with more than ``most`` blocks, by counts of equal windows, all partially aggregated
+   and joined back in joins that Spark can split.
 4. The spans of each document are merged and cut out of the text as given.
 """
 
@@ -177,6 +179,29 @@ def _blocks(length: int):
     return run
 
 
+def _hashed_windows(length: int):
+    """Windows of the undecided runs of hot anchors: (key, s, window), window a hash."""
+
+    def run(batches):
+        for b in batches:
+            keys, todo = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
+            for i, j, buf, offs in slices(b.column(1)):
+                rows = todo.slice(i, j - i)
+                flat = rows.flatten()
+                if not len(flat):
+                    continue
+                doc = np.repeat(np.arange(j - i), np.asarray(rows.value_lengths()))
+                anchor, span = flat.field(0).to_numpy().view(U), flat.field(1).to_numpy()
+                n = (span >> 10 & 1023) + 1
+                row = np.repeat(np.arange(len(span)), n)
+                at = (span >> 20)[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = at + offs[doc[row]]
+                h = mix(Prefixes(buf).spans(start, start + length) ^ mix(anchor[row]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i + doc[row]]), pa.array(at), pa.array(signed(h))], names=["key", "s", "window"])
+
+    return run
+
+
 class Suffixes:
     """Suffixes of a buffer, each cut to ``length`` bytes, compared by prefix hashes."""
 
@@ -369,7 +394,16 @@ def _cut(batches):
         )
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 64, most: int = 4096) -> DataFrame:
+def _counted(runs: DataFrame) -> DataFrame:
+    """What ``_decided`` finds, for hot anchors: (key, anchor, span, kind) with 3 and 4 for 1 and 2."""
+    per = settle(runs.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "span")).alias("one")), "suffix-counted")
+    mixed = per.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    again = runs.join(per.where("n > 1").select("anchor", "whole"), ["anchor", "whole"]).select("key", "anchor", "span", F.lit(0).alias("kind"))
+    one = per.join(mixed, "anchor", "left_semi").select("one.key", "anchor", "one.span", F.when(F.col("n") > 1, 4).otherwise(3).alias("kind"))
+    return again.unionByName(one)
+
+
+def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 64, most: int = 4096, hot: int = 20_000) -> DataFrame:
     """(row, n_bytes, n_removed, spans, kept) of ``docs(doc_id, text)``: texts without bytes inside repeated strings.
 
     ``row`` is a struct of all columns of docs but the text. ``kept`` is the remaining
@@ -386,18 +420,30 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 64, most: int =
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
     docs = docs.select(row, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
     found = docs.select("key", "text").mapInArrow(_anchored(length, gram), "anchor long, whole long, key long, span long")
-    kinds = found.repartition("anchor").sortWithinPartitions("anchor", "whole").mapInArrow(_decided, "key long, anchor long, span long, kind int")
+    found = settle(found, "suffix-runs")
+    often = settle(found.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor"), "suffix-hot")
+    is_hot = often.limit(1).count() > 0
+    cold = found.join(often, "anchor", "left_anti") if is_hot else found
+    kinds = cold.repartition("anchor").sortWithinPartitions("anchor", "whole").mapInArrow(_decided, "key long, anchor long, span long, kind int")
+    if is_hot:
+        kinds = kinds.unionByName(_counted(found.join(often, "anchor", "left_semi")))
     kinds = settle(kinds, "suffix-kinds")
 
-    todo = kinds.where("kind > 0").groupBy("key").agg(F.collect_list(F.struct("anchor", "span")).alias("todo"))
-    blocks = docs.select("key", "text").join(todo, "key").mapInArrow(_blocks(length), "bkey long, key long, at long, body binary")
+    def with_text(rows: DataFrame) -> DataFrame:
+        todo = rows.groupBy("key").agg(F.collect_list(F.struct("anchor", "span")).alias("todo"))
+        return docs.select("key", "text").join(todo, "key")
+
+    blocks = with_text(kinds.where("kind IN (1, 2)")).mapInArrow(_blocks(length), "bkey long, key long, at long, body binary")
     sorted_ = settle(blocks.repartition("bkey").sortWithinPartitions("bkey").mapInArrow(_sorted_blocks(length, most), "key long, s long, e long, window long"), "suffix-sorted")
-    wide = sorted_.where("e IS NULL")
+    wide = sorted_.where("e IS NULL").select("key", "s", "window")
+    if is_hot:
+        windows = with_text(kinds.where("kind IN (3, 4)")).mapInArrow(_hashed_windows(length), "key long, s long, window long")
+        wide = wide.unionByName(settle(windows, "suffix-windows"))
     twice = wide.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     wide = wide.join(twice, "window").select("key", "s", (F.col("s") + length).alias("e"))
 
     start = F.shiftright("span", 20)
-    full = kinds.where("kind <> 1").select("key", start.alias("s"), (start + F.shiftright("span", 10).bitwiseAND(1023) + length).alias("e"))
+    full = kinds.where("kind IN (0, 2, 4)").select("key", start.alias("s"), (start + F.shiftright("span", 10).bitwiseAND(1023) + length).alias("e"))
     spans = full.unionByName(sorted_.where("e IS NOT NULL").select("key", "s", "e")).unionByName(wide)
     marks = spans.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
     cut = docs.join(marks, "key", "left").select("row", "text", "marks")
