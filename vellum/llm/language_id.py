@@ -116,7 +116,7 @@ def infer(ll: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         d = open_[better]
         score[d], size[d] = got[better], m
         lead[d], part[d] = s[better].argmax(axis=1), s[better].max(axis=1)
-    return lead, part, size
+    return lead, np.clip(part, 0.0, 1.0), size
 
 
 def _has_letter(body: bytes) -> bool:
