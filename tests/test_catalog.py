@@ -44,6 +44,6 @@ def test_equals_duckdb(spark, duck, name):
 def test_repairs_restore_what_was_damaged(spark):
     from pyspark.sql import functions as F
 
-    for name in ("ligature_repair", "mojibake_repair", "soft_hyphen", "caret_noise", "cr_midline", "whitespace_collapse", "nfkc_normalize"):
+    for name in ("ligature_repair", "mojibake_repair", "soft_hyphen", "caret_noise", "whitespace_collapse", "nfkc_normalize"):
         out = catalog.QUERIES[name](spark, f"{DATA}/sf0.001").agg(F.count_if("damaged").alias("d"), F.count_if(F.col("damaged") & F.col("restored")).alias("r")).first()
         assert out["d"] > 20 and out["r"] > 0.9 * out["d"], name
