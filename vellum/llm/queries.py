@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vellum.llm._shared import settle, table
 
 QUERIES: dict = {}
-#: None of the ten is given as SQL: signatures, tokenizers, EM and retrieval are tested against brute force instead.
+#: Tokenizers, EM, raking, byte strings and retrieval have no SQL form that runs on whole tables; they are tested against brute force.
 SQL: dict = {}
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -32,6 +32,18 @@ def op1_embedding_near_dedup(spark, sf_dir):
     return embedding_dedup(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+_REACH = """
+    e AS (SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT {id}, {id} FROM {nodes}),
+    reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
+    comp AS (SELECT a AS {id}, min(b) AS component_id FROM reach GROUP BY a)"""
+
+SQL["op1_embedding_near_dedup"] = f"""
+    WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+    links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id < q.vec_id AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= 0.98),
+    {_REACH.format(id="vec_id", nodes="embeddings")}, n AS (SELECT a AS vec_id, count(*) - 1 AS n_links FROM e GROUP BY a)
+    SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN comp USING (vec_id) JOIN n USING (vec_id)"""
+
+
 @query
 def op2_quality_rules(spark, sf_dir):
     from vellum.llm.quality_rules import quality_rules
@@ -44,10 +56,11 @@ def op2_quality_rules(spark, sf_dir):
 def op3_token_orc(spark, sf_dir):
     import uuid
 
-    from vellum.llm._shared import scratch
+    from vellum.llm._shared import _written, scratch
     from vellum.llm.token_orc import read_tokens, token_digest, write_tokens
 
     to = f"{scratch(spark)}/vellum/tokens-{uuid.uuid4().hex}"
+    _written.append((spark, to))
     write_tokens(table(spark, sf_dir, "documents"), to, tokenizer_path(BYTE_BPE), end_id=0)
     return token_digest(read_tokens(spark, to))
 
@@ -62,6 +75,15 @@ def op4_chat_format(spark, sf_dir):
     return chat_digest(settle(format_chats(turns), "chats"))
 
 
+_SAID = r"\### Assistant: </turn> ok"
+_ESCAPED = r"replace(replace(replace(replace({x}, '\', '\\'), '###', '\h'), '</turn>', '\t'), '<|', '\p')"
+SQL["op4_chat_format"] = f"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '{_SAID}')),
+    f AS (SELECT *, length('### ' || replace(replace({_ESCAPED.format(x="role")}, ':', '\\c'), chr(10), '\\n') || ': ' || {_ESCAPED.format(x="text")} || '</turn>' || chr(10)) AS n FROM c)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars FROM f GROUP BY conv_id"""
+
+
 @query
 def op5_suffix_dedup(spark, sf_dir):
     from vellum.llm.suffix_dedup import suffix_dedup
@@ -87,6 +109,15 @@ def op7_minhash_near_dedup(spark, sf_dir):
     return minhash_dedup(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+SQL["op7_minhash_near_dedup"] = rf"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) > 2 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
+    x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+    links AS (SELECT p.doc_id AS a, q.doc_id AS b FROM x p JOIN x q ON p.g = q.g AND p.doc_id < q.doc_id AND 100 * least(p.n, q.n) >= 85 * greatest(p.n, q.n) GROUP BY p.doc_id, q.doc_id HAVING 100 * count(*) >= 85 * (any_value(p.n) + any_value(q.n) - count(*))),
+    {_REACH.format(id="doc_id", nodes="documents")}
+    SELECT doc_id, len(g) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN comp USING (doc_id)"""
+
+
 @query
 def op8_source_mixing(spark, sf_dir):
     from vellum.llm.mixing import mix_sources
