@@ -25,6 +25,8 @@ from vellum.llm._text import U, mix, slices
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Token ids below this are common ones; a document's locality is taken from the others if it has any.
 COMMON = 2000
+#: Shards are dealt to as many partitions as there are shards, up to this number.
+MOST_PARTITIONS = 50_000
 
 
 def _tokenized(path: str, end_id: int):
@@ -203,4 +205,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
     placed = ids.join(F.broadcast(first), "locality")  # bounded by the vocabulary
     shard = F.col("first") + F.pmod(F.xxhash64("doc_id", "n"), "shards")
     placed = placed.select("doc_id", shard.alias("shard"), "width", "ids")
-    return placed.repartition("shard").sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(_packed(window, query_terms), PIECES)
+    n = min(MOST_PARTITIONS, max(a + b for a, b in places.values()))
+    return placed.repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(_packed(window, query_terms), PIECES)
