@@ -224,6 +224,38 @@ def repair_markup(source: Column, titles: Column, conventional: Column) -> Colum
     return fixed(source, titles, conventional)
 
 
+SECTIONS = "array<struct<section:int,title:string,html:string>>"
+
+
+def _split(source: str) -> list[dict]:
+    """The document cut before each heading that stands in its body itself; front matter is section 0."""
+    tree = Tree(source)
+    body = next((n for n in tree.root.walk() if n.tag == "body"), None)
+    if body is None:
+        return []
+    parts: list[tuple[str | None, list]] = [(None, [])]
+    for k in body.kids:
+        text = " ".join(k.text().split()) if isinstance(k, Node) else ""
+        if isinstance(k, Node) and text and (k.tag in ("h1", "h2") or (k.tag == "p" and looks_like_heading(text))):
+            parts.append((text[:120], []))
+        parts[-1][1].append(k)
+    if len(parts) < 3:
+        return []
+    out, whole = [], body.kids
+    for i, (title, kids) in enumerate(parts):
+        if i or any(isinstance(k, Node) or k.strip() for k in kids):
+            body.kids = kids
+            out.append({"section": i, "title": title, "html": serialise(tree)})
+    body.kids = whole
+    return out
+
+
+@vectorised(SECTIONS)
+def split_html(source: pd.Series) -> pd.Series:
+    """Sections of a document with two or more chapter headings in its body, else none."""
+    return source.map(_split, na_action="ignore")
+
+
 def first_heading(block: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, title): the first h1, else the first h2, as one line of at most 120 characters."""
     rank = F.when(F.col("tag") == "h1", 0).otherwise(1)
