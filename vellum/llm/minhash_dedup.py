@@ -156,12 +156,20 @@ def _full(words: int, lower: bool):
     return run
 
 
-def _tried(docs: DataFrame, dealt: DataFrame, words: int, lower: bool, percent: int, hashes: int) -> DataFrame:
-    """Links among ``dealt(node, part, chunk, side, had)``, whose full sets are made from the texts of docs."""
-    places = dealt.groupBy("node").agg(F.collect_set(F.struct("part", "chunk", "side", "had")).alias("places"))
+def _placed(dealt: DataFrame) -> DataFrame:
+    return dealt.groupBy("node").agg(F.collect_set(F.struct("part", "chunk", "side", "had")).alias("places"))
+
+
+def _sets_of(docs: DataFrame, dealt: DataFrame, words: int, lower: bool) -> DataFrame:
+    """(node, places, shingles): full sets of the nodes of ``dealt``, made from the texts of docs once."""
     # the same join at every size: a broadcast that only fits small inputs is no plan for large ones
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(places.hint("merge"), "node")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(_placed(dealt).hint("merge"), "node")
     sets = texts.select("node", "text", "places").mapInArrow(_full(words, lower), "node long, places array<struct<part:long,chunk:long,side:int,had:long>>, shingles binary")
+    return settle(sets, "minhash-sets")
+
+
+def _tried(sets: DataFrame, percent: int, hashes: int) -> DataFrame:
+    """Links among sets(node, places, shingles) that share a place; places are rows (part, chunk, side, had)."""
     rows = sets.select("node", "shingles", F.explode("places").alias("p")).select("node", "p.*", "shingles")
     return rows.repartition("part", "chunk").sortWithinPartitions("part", "chunk").mapInArrow(_verify(percent, hashes), "a long, b long")
 
@@ -196,11 +204,12 @@ def minhash_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int
     placed = parts.join(sizes, "part").select("node", "part", "chunks", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"))
     common = _pivots(placed, pivots)
     dealt = placed.select("node", "part", "chunk", F.lit(0).alias("side"), F.lit(-1).cast("long").alias("had"))
-    links = settle(_tried(docs, dealt.unionByName(common), words, lower, percent, bands * rows), "minhash-links")
+    sets = _sets_of(docs, dealt.unionByName(common), words, lower)
+    links = settle(_tried(sets, percent, bands * rows), "minhash-links")
 
     large = placed.where("chunks > 1")
     if large.limit(1).count():
-        links = settle(links.unionByName(_between(docs, large, links, words, lower, percent, bands * rows, chunk)), "minhash-links")
+        links = settle(links.unionByName(_between(sets, large, links, percent, bands * rows, chunk)), "minhash-links")
     found = connected_components(links, "minhash-found")
 
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
@@ -221,7 +230,7 @@ def _pivots(placed: DataFrame, pivots: int) -> DataFrame:
     return rows.select("node", "part", "chunk", F.lit(0).alias("side"), F.lit(-1).cast("long").alias("had"))
 
 
-def _between(docs, large, links, words, lower, percent, hashes, chunk) -> DataFrame:
+def _between(sets, large, links, percent, hashes, chunk) -> DataFrame:
     """Links between verified parts of large candidate components: what is outside the largest part meets every chunk."""
     inside = connected_components(links, "minhash-inside")
     have = settle(large.join(inside, "node", "left").withColumn("had", F.coalesce("component", "node")).drop("component"), "minhash-have")
@@ -235,4 +244,5 @@ def _between(docs, large, links, words, lower, percent, hashes, chunk) -> DataFr
     stay = stay.select("node", "part", at("chunk", "tile").alias("chunk"), F.lit(1).alias("side"), "had")
     move = minor.join(tiles, "part").select("node", "part", "had", F.pmod(F.xxhash64("node"), "tiles").alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     move = move.select("node", "part", at("chunk", "tile").alias("chunk"), F.lit(0).alias("side"), "had")
-    return _tried(docs, stay.unionByName(move), words, lower, percent, hashes)
+    again = sets.select("node", "shingles").join(_placed(stay.unionByName(move)), "node")
+    return _tried(again, percent, hashes)
