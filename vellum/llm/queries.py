@@ -88,7 +88,7 @@ SQL["op4_chat_format"] = f"""
 def op5_suffix_dedup(spark, sf_dir):
     from vellum.llm.suffix_dedup import suffix_dedup
 
-    out = suffix_dedup(table(spark, sf_dir, "documents"), length=200)
+    out = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
     return out.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
