@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm._shared import settle, table
+from vellum.llm._shared import settle, table, text_key
 from vellum.llm.minhash_dedup import minhash_dedup
 from vellum.llm.mixing import mix_sources
 from vellum.llm.packing import pack_documents
@@ -18,20 +18,28 @@ from vellum.llm.queries import BYTE_BPE, tokenizer_path
 from vellum.llm.suffix_dedup import suffix_dedup
 
 
-def _keep(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is kept; every row of an id has the same verdict or the id goes."""
-    gone = judged.where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+def _keep(docs: DataFrame, judged: DataFrame, *more: str) -> DataFrame:
+    """Rows of docs that are kept, each by the verdict on its own doc_id (or none), text and further columns."""
+    keys = ["doc_id", "text_key", *more]
+    gone = judged.where("NOT kept").select(*[F.col(k).alias(f"gone_{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same &= (text_key() if k == "text_key" else F.col(k)).eqNullSafe(F.col(f"gone_{k}"))
+    return docs.join(gone, same, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are probably bad by the votes of all rules go."""
-    return _keep(docs, quality_rules(docs))
+    return _keep(docs, quality_rules(docs, keyed=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents that share 80 % of their five-word shingles the smallest id stays, once."""
-    return _keep(docs, minhash_dedup(docs, words=5, percent=80)).dropDuplicates(["doc_id"])
+    """Of each component of documents that share 80 % of their five-word shingles the smallest id stays, once; all rows without an id stay."""
+    named = docs.where("doc_id IS NOT NULL")
+    kept = _keep(named, minhash_dedup(named, words=5, percent=80, keyed=True))
+    # of an id's rows in one component one text is kept: only repeats of it are left
+    once = kept.withColumn("text_key", text_key()).dropDuplicates(["doc_id", "text_key"]).drop("text_key")
+    return once.unionByName(docs.where("doc_id IS NULL"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +54,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that tokens follow the flattened source, language and topic marginals, nine tenths of them in all."""
-    return _keep(docs, mix_sources(docs, share=0.9))
+    return _keep(docs, mix_sources(docs, share=0.9, keyed=True), "source", "lang")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,34 @@ def test_stages(spark, tmp_path):
         assert sum(n for _, n in p) == len(library_ids(texts[4][i], 1))
     assert all(n <= 2048 and n & (n - 1) == 0 for n in sequences.values())
     assert c.run(spark, str(tmp_path)).count() == sum(map(len, pieces.values()))
+
+
+def test_rows_are_judged_each_by_itself(spark):
+    """Rows without an id and rows of one id with other texts: none goes for another one's sake, and bad ones go."""
+    import random
+
+    import corpus_pipeline as c
+    from tests.llm.test_operators import prose
+    from vellum.llm.minhash_dedup import minhash_dedup
+
+    rng = random.Random(11)
+    good = [prose(rng, 120) for _ in range(12)]
+    bad = "no id " * 80
+    near = good[7] + " " + prose(rng, 1)
+    rows = [(None, good[0]), (None, good[1]), (None, bad), (5, good[2]), (5, good[3]), (5, bad), (5, good[2]), (3, good[3]), (6, good[4]), (8, good[5]), (8, good[6]), (9, good[7]), (9, near), (7, bad), (7, good[8])]
+    schema = "doc_id long, text string, lang string, source string"
+    docs = spark.createDataFrame([(*r, "en", "s") for r in rows], schema).repartition(4)
+    texts = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+    first = c.quality(spark, docs, "")
+    assert texts(first) == Counter(r for r in rows if r[1] != bad)
+    second = texts(c.near_duplicates(spark, first, ""))
+    nines = [k for k in second if k[0] == 9]
+    assert len(nines) == 1 and nines[0][1] in (good[7], near)
+    assert second - Counter(nines) == Counter([(None, good[0]), (None, good[1]), (5, good[2]), (3, good[3]), (6, good[4]), (8, good[5]), (8, good[6]), (7, good[8])])
+    judged = {(r["doc_id"], r["text_key"]): (r["component_id"], r["kept"]) for r in minhash_dedup(first, keyed=True).collect()}
+    key = {r["text"]: r["k"] for r in first.selectExpr("text", "xxhash64(text) AS k").collect()}
+    assert judged[5, key[good[3]]] == (3, False) and judged[5, key[good[2]]] == (5, True) and judged[None, key[good[0]]] == (None, True)
+
+    many = spark.createDataFrame([(None, prose(rng, 30), "en", "s") for _ in range(300)], schema)
+    assert 240 < texts(c.target_weights(spark, many, "")).total() < 300

@@ -9,7 +9,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_ROWS = 1000
 _written: list[tuple[SparkSession, str]] = []
@@ -49,6 +50,11 @@ def _clear() -> None:
             return
 
 
+def text_key() -> Column:
+    """text_key: the hash of a row's text (of null too), by which rows of one doc_id, or of none, are told apart."""
+    return F.xxhash64(F.col("text").cast("string")).alias("text_key")
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Arrow batches of a bounded number of rows, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -1,7 +1,8 @@
 """Near duplicates by MinHash: universal hash minima, banding, verification on full sets.
 
 1. Every text becomes its set of word shingles, 64-bit hashes of k words. Equal sets
-   are one class from here on; its smallest id stands for it.
+   are one class from here on, with a number of its own: ids may be used again for other
+   texts. The row of its smallest id (and text hash) stands for it.
 2. Minima of the set under ``bands * rows`` universal hashes are cut into bands. Within
    a bucket of a band every class is tied to the smallest one of the bucket, so a bucket
    of n gives n - 1 rows and not n * n; components of these ties (large-star and
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._shared import groups, long_lists, settle, signed, small_batches
+from vellum.llm._shared import groups, long_lists, settle, signed, small_batches, text_key
 from vellum.llm._text import U, Words, constants, mix, shingles, slices
 from vellum.llm.components import connected_components
 
@@ -66,8 +67,8 @@ def _signed_rows(words: int, lower: bool, bands: int, rows: int):
                 else:
                     keys.append(np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(signed(np.array(h1, U))), pa.array(signed(np.array(h2, U))), long_lists(keys)],
-                names=["doc_id", "n_shingles", "h1", "h2", "bands"],
+                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(signed(np.array(h1, U))), pa.array(signed(np.array(h2, U))), long_lists(keys)],
+                names=["doc_id", "text_key", "n_shingles", "h1", "h2", "bands"],
             )
 
     return run
@@ -160,10 +161,11 @@ def _placed(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("node").agg(F.collect_set(F.struct("part", "chunk", "side", "had")).alias("places"))
 
 
-def _sets_of(docs: DataFrame, dealt: DataFrame, words: int, lower: bool) -> DataFrame:
+def _sets_of(docs: DataFrame, classes: DataFrame, dealt: DataFrame, words: int, lower: bool) -> DataFrame:
     """(node, places, shingles): full sets of the nodes of ``dealt``, made from the texts of docs once."""
+    first = _placed(dealt).join(classes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key")), "node")
     # the same join at every size: a broadcast that only fits small inputs is no plan for large ones
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(_placed(dealt).hint("merge"), "node")
+    texts = docs.select("doc_id", "text_key", "text").join(first.hint("merge"), ["doc_id", "text_key"])
     sets = texts.select("node", "text", "places").mapInArrow(_full(words, lower), "node long, places array<struct<part:long,chunk:long,side:int,had:long>>, shingles binary")
     return settle(sets, "minhash-sets")
 
@@ -174,7 +176,7 @@ def _tried(sets: DataFrame, percent: int, hashes: int) -> DataFrame:
     return rows.repartition("part", "chunk").sortWithinPartitions("part", "chunk").mapInArrow(_verify(percent, hashes), "a long, b long")
 
 
-def minhash_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, lower: bool = True, chunk: int = 2000, pivots: int = 8) -> DataFrame:
+def minhash_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, lower: bool = True, chunk: int = 2000, pivots: int = 8, keyed: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of ``docs(doc_id, text)``.
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of
@@ -183,19 +185,22 @@ def minhash_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int
 
     A text of fewer words than a shingle is one shingle. A null text and one without words
     have an empty set and are linked with nothing, not even with each other. Repeated rows
-    are copies. A row without doc_id is returned with a null component and kept. An
-    empty table gives an empty result; further columns are ignored.
+    are copies. Rows of one doc_id with different texts are judged each by its own text;
+    where they fall into one component the smallest text hash of the smallest id is kept.
+    A row without doc_id is returned with a null component and kept. An empty table gives
+    an empty result; further columns are ignored. ``keyed`` adds text_key, the text's hash.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed_rows = docs.mapInArrow(_signed_rows(words, lower, bands, rows), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key())
+    signed_rows = docs.mapInArrow(_signed_rows(words, lower, bands, rows), "doc_id long, text_key long, n_shingles long, h1 long, h2 long, bands array<long>")
     signs = settle(signed_rows, "minhash-signs")
 
     usable = signs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = settle(usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "minhash-classes")
-    firsts = usable.join(classes.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi")
-    keys = firsts.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
+    classes = usable.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
+    firsts = usable.join(classes.select("h1", "h2", "first.*", "node"), ["h1", "h2", "doc_id", "text_key"])
+    keys = firsts.select("node", F.explode("bands").alias("key"))
     smallest = keys.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
     ties = keys.join(smallest, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     parts = settle(connected_components(ties, "minhash-ties").select("node", F.col("component").alias("part")), "minhash-parts")
@@ -204,7 +209,7 @@ def minhash_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int
     placed = parts.join(sizes, "part").select("node", "part", "chunks", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"))
     common = _pivots(placed, pivots)
     dealt = placed.select("node", "part", "chunk", F.lit(0).alias("side"), F.lit(-1).cast("long").alias("had"))
-    sets = _sets_of(docs, dealt.unionByName(common), words, lower)
+    sets = _sets_of(docs, classes, dealt.unionByName(common), words, lower)
     links = settle(_tried(sets, percent, bands * rows), "minhash-links")
 
     large = placed.where("chunks > 1")
@@ -212,10 +217,15 @@ def minhash_dedup(docs: DataFrame, words: int = 5, percent: int = 80, bands: int
         links = settle(links.unionByName(_between(sets, large, links, percent, bands * rows, chunk)), "minhash-links")
     found = connected_components(links, "minhash-found")
 
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    out = signs.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    member = classes.join(found, "node", "left")
+    lowest = member.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("lowest"))
+    named = member.join(lowest, "component", "left").select("h1", "h2", F.coalesce("lowest", "first").alias("first"))
+    out = signs.select("doc_id", "text_key", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    kept = alone | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_key")
+    return out if keyed else out.drop("text_key")
 
 
 def _pivots(placed: DataFrame, pivots: int) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._shared import settle, small_batches
+from vellum.llm._shared import settle, small_batches, text_key
 from vellum.llm._text import U, Words, slices
 
 DIMS = ["source", "lang", "topic"]
@@ -40,7 +40,7 @@ def _topical(topics: int, least: int):
                         continue
                     word, count = np.unique(own, return_counts=True)
                     topic.append(int(word[count.argmax()] % U(topics)))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 2, 3)), pa.array(n, pa.int64()), pa.array(topic, pa.int32())], names=["doc_id", "source", "lang", "n_tokens", "topic"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 2, 3, 4)), pa.array(n, pa.int64()), pa.array(topic, pa.int32())], names=["doc_id", "source", "lang", "text_key", "n_tokens", "topic"])
 
     return run
 
@@ -82,10 +82,10 @@ def calibrate(weight: np.ndarray, factor: np.ndarray, share: float) -> np.ndarra
 
 
 def _uniform(seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", "text_key"), F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def mix_sources(docs: DataFrame, targets: dict[str, dict] | None = None, powers: dict[str, float] | None = None, share: float = 0.5, topics: int = 8, seed: int = 1) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: dict[str, dict] | None = None, powers: dict[str, float] | None = None, share: float = 0.5, topics: int = 8, seed: int = 1, keyed: bool = False) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, probability, kept) of ``docs(doc_id, text, source, lang)``.
 
     ``targets`` gives shares of tokens by value for source, lang or topic; a marginal
@@ -95,12 +95,13 @@ def mix_sources(docs: DataFrame, targets: dict[str, dict] | None = None, powers:
     words of the whole text. Null sources and languages count as values of their own;
     null and empty texts have no tokens, topic 0 and the probability of their cell. Every
     row is sampled by a hash of doc_id alone, so repeated rows of an id in one cell stay
-    or go together. No rows give none.
+    or go together; a row without doc_id is sampled by its text. ``keyed`` adds text_key,
+    the text's hash. No rows give none.
     """
     small_batches(docs.sparkSession)
     powers = {"source": 0.7, "lang": 0.8, "topic": 0.9} | (powers or {})
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
-    rows = settle(rows.mapInArrow(_topical(topics, 5), "doc_id long, source string, lang string, n_tokens long, topic int"), "mixing-rows")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_key())
+    rows = settle(rows.mapInArrow(_topical(topics, 5), "doc_id long, source string, lang string, text_key long, n_tokens long, topic int"), "mixing-rows")
     cells = settle(rows.groupBy(*DIMS).agg(F.sum("n_tokens").cast("double").alias("weight")), "mixing-cells")
     if cells.limit(DRIVER_CELLS + 1).count() <= DRIVER_CELLS:
         found = _on_driver(cells, targets or {}, powers, share)
@@ -109,8 +110,9 @@ def mix_sources(docs: DataFrame, targets: dict[str, dict] | None = None, powers:
     same = F.lit(True)
     for d in DIMS:
         same &= rows[d].eqNullSafe(found[d])
-    out = rows.join(found, same, "left").select("doc_id", *(rows[d] for d in DIMS), "n_tokens", "probability")
-    return out.withColumn("kept", _uniform(seed) < F.col("probability"))
+    out = rows.join(found, same, "left").select("doc_id", *(rows[d] for d in DIMS), "n_tokens", "probability", "text_key")
+    out = out.withColumn("kept", _uniform(seed) < F.col("probability"))
+    return out if keyed else out.drop("text_key")
 
 
 def _on_driver(cells: DataFrame, targets: dict, powers: dict, share: float) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._shared import settle, small_batches
+from vellum.llm._shared import settle, small_batches, text_key
 from vellum.llm._text import _SPACE, Prefixes, U, Words, mix, slices
 
 SYMBOLS = b"#*$%&|<>"
@@ -100,7 +100,7 @@ def _measured(batches):
     for b in batches:
         parts = [stats(buf, offs) for _, _, buf, offs in slices(b.column(1))]
         cols = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in STATS]
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c.astype(np.int64)) for c in cols)], names=["doc_id", *STATS])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c.astype(np.int64)) for c in cols)], names=["doc_id", "text_key", *STATS])
 
 
 @dataclass(frozen=True)
@@ -155,7 +155,7 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, strength:
     return {"share": share, "good": good, "bad": bad, "posterior": post}
 
 
-def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, keep_from: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, keep_from: float = 0.5, keyed: bool = False) -> DataFrame:
     """(doc_id, the figures, base_failed, pattern, quality, kept) of ``docs(doc_id, text)``.
 
     ``quality`` is the posterior probability of a good text, ``pattern`` its votes, one
@@ -163,13 +163,15 @@ def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, keep_from: f
     than half of its words lie in repeated windows of three; it is kept if it doesn't and
     its quality is at least ``keep_from``. Null and empty texts have zero figures and fail.
     Repeated rows are judged each by itself, ties follow from the pattern; doc_id may be
-    null; further columns are ignored; an empty table gives an empty result.
+    null; further columns are ignored; an empty table gives an empty result. ``keyed``
+    adds text_key, the text's hash, which tells rows of one doc_id apart.
     """
     rules = RULES if rules is None else rules
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = settle(docs.mapInArrow(_measured, ", ".join(["doc_id long", *(f"{c} long" for c in STATS)])), "quality-stats")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key())
+    found = settle(docs.mapInArrow(_measured, ", ".join(["doc_id long", "text_key long", *(f"{c} long" for c in STATS)])), "quality-stats")
+    found = found if keyed else found.drop("text_key")
     vote = [F.when(r.good(), "g").when(r.bad(), "b").otherwise("-") for r in rules]
     found = found.withColumn("pattern", F.concat(*vote)).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     counted = sorted((r["pattern"], r["n"]) for r in found.groupBy("pattern").agg(F.count("*").alias("n")).collect())
