@@ -37,15 +37,28 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch(spark)}/vellum/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def unsettle(df: DataFrame) -> None:
+    """The files of a settled df go before the end, when nothing reads them any more."""
+    at = (df.sparkSession, df._settled_at)
+    _delete(*at)
+    _written.remove(at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clear() -> None:
     for spark, path in _written:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended before
             return
 

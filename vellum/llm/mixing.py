@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._shared import settle, small_batches, text_key
+from vellum.llm._shared import settle, small_batches, text_key, unsettle
 from vellum.llm._text import U, Words, slices
 
 DIMS = ["source", "lang", "topic"]
@@ -136,32 +136,42 @@ def _on_driver(cells: DataFrame, targets: dict, powers: dict, share: float) -> D
     return spark.createDataFrame([(*(r[d] for d in DIMS), float(x)) for r, x in zip(table, p, strict=True)], schema)
 
 
-def _as_tables(cells: DataFrame, targets: dict, powers: dict, share: float, rounds: int = 12) -> DataFrame:
-    """The same on DataFrames, for a fixed number of rounds."""
+def _as_tables(cells: DataFrame, targets: dict, powers: dict, share: float, rounds: int = 200, close: float = 1e-9) -> DataFrame:
+    """The same on DataFrames: rake's stop rule and calibrate's capping, with one scalar a round to the driver."""
     spark = cells.sparkSession
     total = cells.agg(F.sum("weight")).first()[0] or 0.0
-    cells = cells.withColumn("factor", F.lit(1.0))
     wanted = {}
     for d in DIMS:
+        w = cells.groupBy(F.col(d).cast("string").alias("v")).agg(F.sum("weight").alias("t"))
         if targets.get(d):
-            sure = sum(targets[d].values()) or 1.0
-            w = spark.createDataFrame([(str(k) if k is not None else None, v / sure) for k, v in targets[d].items()], "v string, target double")
+            given = spark.createDataFrame([(str(k) if k is not None else None, float(v)) for k, v in targets[d].items()], "g string, share double")
+            w = w.join(given, F.col("v").eqNullSafe(F.col("g")), "left").select("v", F.when(F.col("t") > 0, F.coalesce("share", F.lit(0.0))).otherwise(0.0).alias("share"))
         else:
-            w = cells.groupBy(F.col(d).cast("string").alias("v")).agg(F.sum("weight").alias("t")).select("v", F.pow("t", F.lit(powers[d])).alias("t"))
-            w = w.crossJoin(w.agg(F.sum("t").alias("all"))).select("v", (F.col("t") / F.col("all")).alias("target"))  # one row on the right
-        wanted[d] = settle(w, f"mixing-{d}")
-    for _ in range(rounds):
+            w = w.select("v", F.when(F.col("t") > 0, F.pow("t", F.lit(powers[d]))).otherwise(0.0).alias("share"))
+        w = settle(w, f"mixing-{d}")
+        sure = w.agg(F.sum("share")).first()[0] or 1.0  # of the values that have tokens
+        wanted[d] = w.select("v", (F.col("share") / sure).alias("target"))
+    raked = cells.withColumn("factor", F.lit(1.0))
+    for i in range(rounds):
+        now = raked.withColumn("off", F.lit(0.0))
         for d in DIMS:
-            have = cells.groupBy(F.col(d).cast("string").alias("h")).agg(F.sum(F.col("weight") * F.col("factor")).alias("have"))
+            have = now.groupBy(F.col(d).cast("string").alias("h")).agg(F.sum(F.col("weight") * F.col("factor")).alias("have"))
             ratio = have.join(wanted[d], F.col("h").eqNullSafe(F.col("v")), "left").select("h", F.when(F.col("have") > 0, F.coalesce("target", F.lit(0.0)) * total / F.col("have")).otherwise(1.0).alias("ratio"))
-            cells = cells.join(ratio, F.col(d).cast("string").eqNullSafe(F.col("h"))).select(*DIMS, "weight", (F.col("factor") * F.col("ratio")).alias("factor"))
-        cells = settle(cells, "mixing-raked")
-    scale = 0.0
-    low, high = 0.0, 1e12  # the scale by bisection: the expected weight grows with it
-    for _ in range(60):
-        scale = (low * high) ** 0.5 if low else high / 2
-        got = cells.agg(F.sum(F.col("weight") * F.least(F.lit(1.0), F.col("factor") * scale))).first()[0] or 0.0
-        low, high = (scale, high) if got < share * total else (low, scale)
-        if high - low < 1e-9 * high:
+            now = now.join(ratio, F.col(d).cast("string").eqNullSafe(F.col("h"))).select(*DIMS, "weight", (F.col("factor") * F.col("ratio")).alias("factor"), F.greatest("off", F.abs(F.col("ratio") - 1)).alias("off"))
+        before, raked = raked, settle(now, "mixing-raked")
+        if i:
+            unsettle(before)
+        if (raked.agg(F.max("off")).first()[0] or 0.0) < close:
+            break
+    scale, capped = 0.0, 0
+    while True:  # the scale only grows, so what it has capped stays capped
+        over = F.col("factor") * scale > 1
+        n, sure, rest = raked.agg(F.count_if(over), F.sum(F.when(over, F.col("weight")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight") * F.col("factor")))).first()
+        if scale and n <= capped:
+            p = F.least(F.lit(1.0), F.col("factor") * scale)
+            break
+        if not rest or share * total <= sure:
+            p = F.when(over, 1.0).otherwise(0.0)
             break
-    return cells.select(*DIMS, F.least(F.lit(1.0), F.col("factor") * high).alias("probability"))
+        scale, capped = (share * total - sure) / rest, n
+    return raked.select(*DIMS, p.alias("probability"))
