@@ -45,7 +45,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes or more that are still found elsewhere are cut out of the texts; bytes of a split character go too."""
     cut = suffix_dedup(docs, length=200)
-    text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
+    # the replacement characters that the text has itself are written as another character's escape meanwhile
+    text = F.col("kept").cast("string")
+    for a, b in (("\x01", "\x01a"), ("\ufffd", "\x01b"), (None, None), ("\ufffd", ""), ("\x01b", "\ufffd"), ("\x01a", "\x01")):
+        text = F.make_valid_utf8(text) if a is None else F.replace(text, F.lit(a), F.lit(b))
     made = {"text": F.when(F.col("n_removed") > 0, text).otherwise(F.col("kept").cast("string"))}
     if "n_chars" in docs.columns:
         made["n_chars"] = F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("row.n_chars"))

@@ -81,3 +81,21 @@ def test_rows_are_judged_each_by_itself(spark):
 
     many = spark.createDataFrame([(None, prose(rng, 30), "en", "s") for _ in range(300)], schema)
     assert 240 < texts(c.target_weights(spark, many, "")).total() < 300
+
+
+def test_replacement_characters_of_the_input_stay(spark):
+    """Only bytes of a split character go with a repeat: U+FFFD of the document and what looks like its escape stay."""
+    import random
+
+    import corpus_pipeline as c
+    from tests.llm.test_operators import prose
+
+    rng = random.Random(12)
+    passage = "".join(rng.choice("\u00e9\u00e8\ufffdab ") for _ in range(300))
+    rows = [(i, f"{prose(rng, 9)} \ufffd\x01 \x01b \x01ab {head}{passage}{tail} \ufffd{prose(rng, 9)}") for i, (head, tail) in enumerate([("\u00e9", "\u00ea"), ("\u0169", "\u012a")])]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, n_chars long")
+    bodies = [t.encode() for _, t in rows]
+    want = {i: np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") for (i, _), b, gone in zip(rows, bodies, cut_repeats(bodies, 200), strict=True)}
+    got = c.repeated_passages(spark, docs, "").collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert all(len(t) < 200 and t.count("\ufffd") == 2 for t in want.values())
