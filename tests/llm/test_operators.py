@@ -105,6 +105,18 @@ def test_minhash(frame, docs, empty, chunk):
     assert minhash_dedup(empty).count() == 0
 
 
+def test_minhash_miss_rate():
+    """Pairs at the threshold that the signature cut alone rules out are few beside those that banding misses."""
+    from math import comb
+
+    from vellum.llm.minhash_dedup import least_equal
+
+    for j, banding in ((0.8, 5e-8), (0.85, 6e-11)):
+        cut = least_equal(j, 128)
+        ruled_out = sum(comb(128, k) * j**k * (1 - j) ** (128 - k) for k in range(129) if k < cut)
+        assert ruled_out < 3e-12 and (1 - j**4) ** 32 + ruled_out < banding
+
+
 def test_embeddings(spark):
     from vellum.llm.embed_dedup import embedding_dedup
 
