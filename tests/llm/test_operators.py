@@ -84,8 +84,8 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [2000, 3])
-def test_minhash(frame, docs, empty, chunk):
+@pytest.mark.parametrize("chunk, most", [(2000, 4096), (3, 4096), (2000, 2)])
+def test_minhash(frame, docs, empty, chunk, most):
     from vellum.llm.minhash_dedup import minhash_dedup
 
     sets = {}
@@ -95,7 +95,7 @@ def test_minhash(frame, docs, empty, chunk):
     ids = sorted(i for i in sets if i is not None)
     edges = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     want = components(ids, edges)
-    got = minhash_dedup(frame, words=3, percent=85, chunk=chunk).collect()
+    got = minhash_dedup(frame, words=3, percent=85, chunk=chunk, most=most).collect()
     assert len(got) == len(docs)
     for r in got:
         assert r["n_shingles"] == len(sets[r["doc_id"]])
@@ -111,13 +111,15 @@ def test_minhash_miss_rate():
 
     from vellum.llm.minhash_dedup import least_equal
 
-    for j, banding in ((0.8, 5e-8), (0.85, 6e-11)):
+    for j, banding in ((0.8, 5e-7), (0.85, 2e-10)):
         cut = least_equal(j, 128)
         ruled_out = sum(comb(128, k) * j**k * (1 - j) ** (128 - k) for k in range(129) if k < cut)
-        assert ruled_out < 3e-12 and (1 - j**4) ** 32 + ruled_out < banding
+        assert ruled_out < 3e-12 and (1 - j**6) ** 48 + ruled_out < banding
 
 
 def test_embeddings(spark):
+    from pyspark.sql import functions as F
+
     from vellum.llm.embed_dedup import embedding_dedup
 
     rng = np.random.default_rng(3)
@@ -143,12 +145,19 @@ def test_embeddings(spark):
                 links[a].add(b)
                 links[b].add(a)
     want = components({r[0] for r in rows if r[0] is not None}, [(a, b) for a in links for b in links[a]])
-    for cell_rows in (4096, 5):
-        got = embedding_dedup(frame, 0.98, cell_rows=cell_rows).collect()
+    for cell_rows in (4096, 20, 2):
+        got = embedding_dedup(frame.withColumn("id", F.lit(1)).withColumn("cell", F.lit("x")), 0.98, cell_rows=cell_rows).collect()
         assert len(got) == len(rows)
         for r in got:
             if r["vec_id"] is not None:
                 assert (r["n_links"], r["component_id"]) == (len(links[r["vec_id"]]), want[r["vec_id"]]), r
+    again = embedding_dedup(frame.unionByName(frame.where("vec_id = 3"))).where("vec_id = 3").collect()
+    assert [r["n_links"] for r in again] == [len(links[3]) + 1] * 2  # every row of a repeated vector counts
+    # a double column keeps its width: one step of a double away from the threshold decides
+    x, c = [1.0, 0.0], 0.98
+    inside, outside = [c, float(np.sqrt(1 - c * c)) * (1 - 1e-12)], [c, float(np.sqrt(1 - c * c)) * (1 + 1e-9)]
+    wide = spark.createDataFrame([(1, x, 0), (2, inside, 0), (3, x, 1), (4, outside, 1)], "vec_id long, embedding array<double>, label int")
+    assert {r["vec_id"]: r["n_links"] for r in embedding_dedup(wide).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
     assert sum(map(len, links.values())) > 300
     assert embedding_dedup(frame.limit(0)).count() == 0
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 1000
+BATCH_BYTES = 32 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -68,9 +69,13 @@ def text_key() -> Column:
     return F.xxhash64(F.col("text").cast("string")).alias("text_key")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Arrow batches of a bounded number of rows, as texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Arrow batches of a bounded number of rows and bytes, as texts can be long; settings of the session that are lower stay."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        if not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(key, most)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
