@@ -82,6 +82,9 @@ def test_components(spark):
     real = [(a, b) for a, b in edges if a is not None and a != b]
     assert got == components({x for e in real for x in e}, real)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    stars = [(c, 10_000 * c + i) for c in (1, 2, 3) for i in range(1500)] + [(20_001, 30_001)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == components({x for e in stars for x in e}, stars) and set(got.values()) == {1, 2}
 
 
 @pytest.mark.parametrize("chunk, most", [(2000, 4096), (3, 4096), (2000, 2)])

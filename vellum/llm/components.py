@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._shared import settle
+from vellum.llm._shared import settle, unsettle
+
+#: A node is hot with more than this share of the edges, and not below this number of them.
+HOT, LEAST = 1000, 500
 
 
 def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 100) -> DataFrame:
@@ -13,6 +16,8 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
 
     Each round hangs every larger neighbour of a node on the smallest one (large-star),
     then every smaller neighbour (small-star), and writes the edges to the shared folder.
+    Nodes that hold more than a HOT-th of all edges, of which there are at most 2 * HOT,
+    are broadcast, so the neighbours of a star's centre need not meet in one task.
     Only a count and a hash sum of the edges reach the driver. Edges with a null end are
     ignored; loops and repeated edges do no harm; no edges give no rows.
     """
@@ -23,11 +28,15 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
         if not seen[0]:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("lo")).select("u", F.least("lo", "u").alias("lo"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("lo").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("lo"), F.count("*").alias("n")).select("u", F.least("lo", "u").alias("lo"), (F.col("n") > max(LEAST, seen[0] // HOT)).alias("hot"))
+        centre = F.broadcast(low.where("hot").select("u", F.col("lo").alias("centre")))
+        out = both.where("v > u").join(centre, "u", "left")
+        rest = out.where("centre IS NULL").join(low, "u").select(F.col("v").alias("u"), F.col("lo").alias("v"))
+        large = out.where("centre IS NOT NULL").select(F.col("v").alias("u"), F.col("centre").alias("v")).unionByName(rest)
         least = large.groupBy("u").agg(F.min("v").alias("lo"))
         small = large.join(least, "u").where("v <> lo").select(F.col("v").alias("u"), F.col("lo").alias("v"))
-        e = settle(small.unionByName(least.select("u", F.col("lo").alias("v"))).distinct(), name)
+        before, e = e, settle(small.unionByName(least.select("u", F.col("lo").alias("v"))).distinct(), name)
+        unsettle(before)
         now = _state(e)
         if now == seen:
             break
