@@ -278,8 +278,8 @@ def cut_repeats(texts, n):
     return out
 
 
-@pytest.mark.parametrize("length, most", [(200, 4096), (60, 4096), (60, 1)])
-def test_suffix(frame, docs, empty, length, most):
+@pytest.mark.parametrize("length, most, often", [(200, 4096, 64), (60, 4096, 64), (60, 4096, 2), (60, 3, 2), (200, 2, 4)])
+def test_suffix(frame, docs, empty, length, most, often):
     from vellum.llm.suffix_dedup import suffix_dedup
 
     texts = [(t or "").encode() for _, t, *_ in docs]
@@ -288,7 +288,7 @@ def test_suffix(frame, docs, empty, length, most):
     for (i, *_), t, g in zip(docs, texts, gone, strict=True):
         runs = int((np.diff(np.concatenate([[0], g.astype(int)])) == 1).sum())
         want[i, len(t), int(g.sum()), runs, np.frombuffer(t, np.uint8)[~g].tobytes()] += 1
-    got = Counter((r["row"]["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in suffix_dedup(frame, length, gram=16 if length < 100 else 64, most=most).collect())
+    got = Counter((r["row"]["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in suffix_dedup(frame, length, gram=16 if length < 100 else 64, most=most, often=often).collect())
     assert got == want
     assert sum(k[2] for k in want) > 3000
     assert suffix_dedup(empty).count() == 0

@@ -10,14 +10,20 @@ first gathered where they can meet:
    shuffled, dealt by anchor and sorted by anchor and the run's own hash, and read as a
    stream: a run that is equal to its neighbour is repeated as a whole; a run that shares
    its anchor only is undecided; all others are unique.
+   Equal runs go on as whole strings, keyed by anchor and run hash. An anchor that a task
+   meets often is dealt over PARTS parts; there a run without an equal one is undecided,
+   and the task tells part 0 that the anchor is dealt, so that nothing counts as unique
+   for having been dealt elsewhere.
 2. Undecided runs are cut into blocks of 32 windows aligned to the anchor and keyed by
-   what all these windows have in common. Within a key the suffixes that start in the
-   blocks are merge-sorted. Two suffixes are compared by the first eight bytes and else
-   by binary search for their longest common extension on prefix polynomial hashes, so a
-   comparison takes a logarithmic number of steps. Neighbours in that order which agree
-   on ``length`` bytes by hash are compared byte by byte before they count.
-3. A key with more than ``most`` blocks isn't sorted in one task: its windows are
-   counted by hash with partial aggregation instead.
+   what all these windows have in common, dealt in the same way where a key is frequent.
+   Within a key the suffixes (the windows of its blocks, or equal runs as a whole) are
+   merge-sorted. Two suffixes are compared by the first eight bytes and else by binary
+   search for their longest common extension on prefix polynomial hashes, so a comparison
+   takes a logarithmic number of steps. Neighbours in that order which agree by hash are
+   compared byte by byte before they count.
+3. What a frequent key's parts leave open is counted by its hash with partial aggregation;
+   what occurs twice is read from the texts again and sorted and compared in the same way
+   under a key of its own.
 4. The spans of each document are merged and cut out of the text as given.
 """
 
@@ -35,6 +41,12 @@ from vellum.llm._text import Prefixes, U, mix, slices
 
 BLOCK = 32
 PIECE = 1 << 20
+#: A key that a task meets more than OFTEN times, and in more than SHARE of its rows, is dealt over PARTS parts from then on.
+OFTEN, SHARE, PARTS = 64, 0.01, 64
+#: Keys whose frequency a task keeps in mind at a time.
+WATCHED = 4096
+#: Equal runs are verified in groups of so many.
+VERIFIED = 1024
 _OFFSET = U((1 << 21) - 1)
 
 
@@ -78,10 +90,37 @@ def runs(buf: np.ndarray, offs: np.ndarray, length: int, gram: int):
     return doc[start], start, end, anchor, h[anchor], whole
 
 
-def _anchored(length: int, gram: int):
+class Frequent:
+    """Deals the rows of keys that come often: part 0 for others, and 1 to PARTS for them. Space-saving counts, bounded by WATCHED."""
+
+    def __init__(self, often: int):
+        self.often, self.rows, self.count, self.hot = often, 0, {}, np.zeros(0, np.int64)
+
+    def parts(self, key: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(part of each row, keys that became frequent with this call)."""
+        self.rows += len(key)
+        values, n = np.unique(key, return_counts=True)
+        several = n > 1
+        for k, c in zip(values[several].tolist(), n[several].tolist(), strict=True):
+            self.count[k] = self.count.get(k, 0) + c
+        new = [k for k, c in self.count.items() if c > max(self.often, SHARE * self.rows)]
+        for k in new:
+            del self.count[k]
+        if len(self.count) > WATCHED:  # the rarer half is forgotten
+            least = sorted(self.count.values())[len(self.count) // 2]
+            self.count = {k: c - least for k, c in self.count.items() if c > least}
+        new = np.setdiff1d(np.array(new, np.int64), self.hot)
+        self.hot = np.union1d(self.hot, new)
+        return np.where(np.isin(key, self.hot), (mix(by.view(U)) % U(PARTS)).astype(np.int64) + 1, 0), new
+
+
+def _anchored(length: int, gram: int, often: int):
+    """(anchor, part, whole, key, more, span) of all runs; a row without key says that its anchor is dealt over parts."""
+
     def run(batches):
+        watch = Frequent(often)
         for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
+            keys, more = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
             for i, _, buf, offs in slices(b.column(1)):
                 for part, po, at in _pieces(buf, offs, length - 1):
                     r = runs(part, po, length, gram)
@@ -90,64 +129,88 @@ def _anchored(length: int, gram: int):
                     doc, start, end, anchor, ah, wh = r
                     begin = start - po[doc] + at
                     span = (begin << 20) | ((end - start) << 10) | (anchor - start)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(ah)), pa.array(signed(wh)), pa.array(keys[i + doc]), pa.array(span)], names=["anchor", "whole", "key", "span"])
+                    key = keys[i + doc]
+                    part, new = watch.parts(signed(ah), np.ascontiguousarray(key + span))
+                    told = np.zeros(len(new), np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(c)) for c in ((signed(ah), new), (part, told), (signed(wh), told), (key, told), (more[i + doc], told.astype(np.int32)), (span, told - 1))],
+                        names=["anchor", "part", "whole", "key", "more", "span"],
+                    )
 
     return run
 
 
 def _decided(batches):
-    """Of a stream sorted by anchor and run hash: (key, anchor, span, kind); 0 repeated, 1 undecided, 2 repeated and compared with undecided ones.
+    """Of a stream sorted by anchor, part and run hash: (key, more, anchor, span, whole, kind); 0 to be verified as a whole, 1 undecided, 2 both.
 
-    One row is held back, so no group is ever gathered.
+    One row is held back, so no group is ever gathered. Equal runs are verified in groups
+    of VERIFIED, never of one; ``whole`` becomes the key of such a group.
     """
 
-    def judge(cols, more_before, more_after, several):
-        anchor, whole, key, span = cols
+    def judge(cols, before, after):
+        """Rows whose neighbours are known: before and after are the columns next to them, or None."""
+        nonlocal count
+        anchor, part, whole, key, more, span = cols
         n = len(anchor)
         same_a, same_w = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
-        same_a[1:-1] = anchor[1:] == anchor[:-1]
-        same_w[1:-1] = same_a[1:-1] & (whole[1:] == whole[:-1])
-        same_a[0], same_w[0] = more_before, several
-        same_a[-1], same_w[-1] = more_after
+        same_a[1:-1] = (anchor[1:] == anchor[:-1]) & (part[1:] == part[:-1])
+        same_w[1:-1] = same_a[1:-1] & (whole[1:] == whole[:-1]) & (span[1:] >= 0) & (span[:-1] >= 0)
+        for at, end, row in ((0, before, 0), (n, after, -1)):
+            if end is not None:
+                same_a[at] = end[0] == anchor[row] and end[1] == part[row]
+                same_w[at] = same_a[at] and end[2] == whole[row] and end[5] >= 0 and span[row] >= 0
         full = same_w[:-1] | same_w[1:]
-        shared = same_a[:-1] | same_a[1:]
-        # the first or last of equal runs stands for them if a different run of its anchor is next to it
-        ends = (~same_w[:-1] & same_a[:-1]) | (~same_w[1:] & same_a[1:])
+        hot = part > 0
+        shared = same_a[:-1] | same_a[1:] | hot
+        # the first or last of equal runs stands for them if a different run of its anchor is next to it, or may be elsewhere
+        ends = (~same_w[:-1] & (same_a[:-1] | hot)) | (~same_w[1:] & (same_a[1:] | hot))
         kind = np.where(full, np.where(ends, 2, 0), 1)
-        keep = shared | full
-        return key[keep], anchor[keep], span[keep], kind[keep].astype(np.int32)
-
-    prev = None  # anchor and whole of the row before the held one
-    held = None
+        # the place of a row among its equals, which may have begun in an earlier batch
+        first = np.flatnonzero(~same_w[:-1])
+        base = np.repeat(np.concatenate([[0], first]), np.diff(np.concatenate([[0], first, [n]])))
+        place = np.arange(n) - base
+        if not len(first) or first[0] > 0:
+            place[: first[0] if len(first) else n] += count
+        count = int(place[-1]) + 1 if n else count
+        group = place // VERIFIED
+        group[(place % VERIFIED == 0) & (place > 0) & ~same_w[1:]] -= 1  # none is verified alone
+        keyed = signed(mix(whole.view(U) ^ mix(anchor.view(U) + mix(group.astype(U) * U(PARTS + 1) + part.astype(U)))) | U(1))
+        keep = (shared | full) & (span >= 0)
+        return _kinds([x[keep] for x in (key, more, anchor, span, keyed)] + [kind[keep].astype(np.int32)])
+
+    count, before, held = 0, None, None
     for b in batches:
-        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
         if not len(cols[0]):
             continue
         if held is not None:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
         if len(cols[0]) > 1:
-            before = prev is not None and prev[0] == cols[0][0]
-            several = before and prev[1] == cols[1][0]
-            after = (cols[0][-2] == cols[0][-1], cols[0][-2] == cols[0][-1] and cols[1][-2] == cols[1][-1])
-            yield _kinds(judge([c[:-1] for c in cols], before, after, several))
-            prev = (cols[0][-2], cols[1][-2])
+            yield judge([c[:-1] for c in cols], before, [c[-1] for c in cols])
+            before = [c[-2] for c in cols]
         held = [c[-1:] for c in cols]
     if held is not None:
-        before = prev is not None and prev[0] == held[0][0]
-        yield _kinds(judge(held, before, (False, False), before and prev[1] == held[1][0]))
+        yield judge(held, before, None)
 
 
 def _kinds(x) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["key", "anchor", "span", "kind"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["key", "more", "anchor", "span", "whole", "kind"])
+
 
+_BLOCK = "bkey long, part long, key long, more int, at long, whole boolean, body binary"
 
-def _blocks(length: int):
-    """Blocks of windows of the undecided runs: (bkey, key, at, body); body is the bytes of all its windows."""
+
+def _blocks(length: int, often: int):
+    """Strings to be sorted: blocks of windows of the undecided runs and, whole, runs to be verified; body is their bytes.
+
+    A row without body says that its key is dealt over parts.
+    """
     core = length - BLOCK + 1
 
     def run(batches):
+        watch = Frequent(often)
         for b in batches:
-            keys, todo = b.column(0).to_numpy(zero_copy_only=False), b.column(2)
+            keys, more, todo = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False), b.column(3)
             for i, j, buf, offs in slices(b.column(1)):
                 rows = todo.slice(i, j - i)
                 flat = rows.flatten()
@@ -155,24 +218,29 @@ def _blocks(length: int):
                 if not len(flat):
                     continue
                 doc = np.repeat(np.arange(j - i), count)
-                anchor = flat.field(0).to_numpy().view(U)
-                span = flat.field(1).to_numpy()
+                anchor, span, kind = flat.field(0).to_numpy().view(U), flat.field(1).to_numpy(), flat.field(3).to_numpy()
                 lo = (span >> 20) + offs[doc]
                 hi = lo + (span >> 10 & 1023)
                 a = lo + (span & 1023)
                 p = Prefixes(buf)
                 raw = buf.tobytes()
-                out = [[], [], [], []]
+                sure, open_ = np.flatnonzero(kind != 1), np.flatnonzero(kind > 0)
+                out = [[flat.field(2).to_numpy()[sure]], [doc[sure]], [lo[sure]], [hi[sure]], [np.ones(len(sure), bool)]]
                 for q in range(-(-length // BLOCK)):
-                    first, last = np.maximum(lo, a - BLOCK * q - BLOCK + 1), np.minimum(hi, a - BLOCK * q)
+                    first, last = np.maximum(lo[open_], a[open_] - BLOCK * q - BLOCK + 1), np.minimum(hi[open_], a[open_] - BLOCK * q)
                     has = np.flatnonzero(first <= last)
-                    s = a[has] - BLOCK * q
-                    key = signed(mix(p.spans(s, s + core) + anchor[has] * U(5) + U(q)))
-                    out[0].append(key)
-                    out[1].append(keys[i + doc[has]])
-                    out[2].append(first[has] - offs[doc[has]])
-                    out[3] += [raw[x : y + length] for x, y in zip(first[has].tolist(), last[has].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in out[:3]), pa.array(out[3], pa.binary())], names=["bkey", "key", "at", "body"])
+                    s = a[open_[has]] - BLOCK * q
+                    key = signed(mix(p.spans(s, s + core) + anchor[open_[has]] * U(5) + U(q)) & ~U(1))
+                    for c, x in zip(out, (key, doc[open_[has]], first[has], last[has], np.zeros(len(has), bool)), strict=True):
+                        c.append(x)
+                bkey, d, first, last, whole = (np.concatenate(c) for c in out)
+                part, new = watch.parts(np.where(whole, 0, bkey), keys[i + d] + first)
+                part[whole] = 0
+                new = new[new != 0]
+                told = np.zeros(len(new), np.int64)
+                body = [raw[x : y + length] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+                cols = ((bkey, new), (part, told), (keys[i + d], told), (more[i + d], told.astype(np.int32)), (first - offs[d], told), (whole, told.astype(bool)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in cols), pa.array([*body, *[None] * len(new)], pa.binary())], names=["bkey", "part", "key", "more", "at", "whole", "body"])
 
     return run
 
@@ -243,96 +311,131 @@ class Suffixes:
             w *= 2
         return order
 
-    def repeated(self, sizes: np.ndarray) -> np.ndarray:
-        """Which suffixes are equal to another one of their group."""
+    def repeated(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which suffixes are equal to another one of their group, and which to one before them in order."""
         order = self.sorted(sizes)
         group = np.repeat(np.arange(len(sizes)), sizes)
         near = np.flatnonzero((self.whole[order[1:]] == self.whole[order[:-1]]) & (group[1:] == group[:-1]))
-        out = np.zeros(len(order), bool)
+        out, later = np.zeros(len(order), bool), np.zeros(len(order), bool)
         reach = np.arange(self.length)
         for i in range(0, len(near), 4096):
             k = near[i : i + 4096]
             x, y = order[k], order[k + 1]
             sure = (self.buf[self.start[x][:, None] + reach] == self.buf[self.start[y][:, None] + reach]).all(axis=1)
             out[x[sure]] = True
-            out[y[sure]] = True
-        return out
+            out[y[sure]] = later[y[sure]] = True
+        return out, later
 
 
-def _spans(key: np.ndarray, at: np.ndarray, length: int) -> pa.RecordBatch:
+_FOUND = "key long, more int, s long, e long, window long"
+
+
+def _spans(key: np.ndarray, more: np.ndarray, at: np.ndarray, length: int) -> pa.RecordBatch:
     """Windows as spans, neighbours of one block joined."""
     new = np.ones(len(at), bool)
     new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(at[first]), pa.array(at[last] + length), pa.array(np.zeros(len(first), np.int64))], names=["key", "s", "e", "window"])
+    return _found(key[first], more[first], at[first], at[last] + length, None)
 
 
-def _windows(rows: pa.Table, length: int):
-    body = rows.column("body").combine_chunks()
-    _, _, buf, offs = next(slices(body, 1 << 60))
-    n = np.diff(offs) - length + 1
-    row = np.repeat(np.arange(len(n)), n)
-    inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    at = rows.column("at").to_numpy()[row] + inner
-    return buf, offs[row] + inner, rows.column("key").to_numpy()[row], at, n
+def _found(key, more, s, e, window) -> pa.RecordBatch:
+    none = pa.nulls(len(key), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(more), pa.array(s), none if e is None else pa.array(e), none if window is None else pa.array(window)], names=["key", "more", "s", "e", "window"])
 
 
-def _sorted_blocks(length: int, most: int, gather: int = 2000):
-    """Spans of repeated windows, and of keys above ``most`` blocks each window with its hash (e is null)."""
+def _sorted_blocks(length: int, gather: int = 2000, most: int = 4096):
+    """Spans of repeated windows and runs of rows sorted by key and part; of dealt keys also each window left open, with its hash (e is null).
 
-    def flush(tables):
+    A part above ``most`` rows is sorted in pieces: what no piece repeats is left open.
+    """
+
+    def flush(tables, size, dealt):
+        """Of groups of strings of at least ``size`` bytes each: every window of that size, sorted within its group."""
         rows = pa.concat_tables(tables)
-        buf, start, key, at, n = _windows(rows, length)
-        per = np.cumsum([0, *[t.num_rows for t in tables]])
-        sizes = np.add.reduceat(n, per[:-1])
-        again = np.flatnonzero(Suffixes(buf, start, length).repeated(sizes))
+        body = rows.column("body").combine_chunks()
+        _, _, buf, offs = next(slices(body, 1 << 60))
+        n = np.diff(offs) - size + 1
+        row = np.repeat(np.arange(len(n)), n)
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        start = offs[row] + inner
+        key, more, at = rows.column("key").to_numpy()[row], rows.column("more").to_numpy()[row], rows.column("at").to_numpy()[row] + inner
+        sizes = np.add.reduceat(n, np.cumsum([0, *[t.num_rows for t in tables[:-1]]]))
+        sort = Suffixes(buf, start, size)
+        twice, later = sort.repeated(sizes)
+        again = np.flatnonzero(twice)
         if len(again):
-            yield _spans(key[again], at[again], length)
-
-    def single(rows):
-        for i in range(0, rows.num_rows, 1000):
-            part = rows.slice(i, 1000)
-            buf, start, key, at, n = _windows(part, length)
-            own = np.repeat(part.column("bkey").to_numpy().view(U), n)
-            h = signed(mix(Prefixes(buf).spans(start, start + length) ^ mix(own)))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(at), pa.array([None] * len(at), pa.int64()), pa.array(h)], names=["key", "s", "e", "window"])
+            yield _spans(key[again], more[again], at[again], size)
+        # the first of equal ones as well, for one that is alone elsewhere
+        left = np.flatnonzero(~later & np.repeat(np.array(dealt), sizes))
+        if len(left):
+            yield _found(key[left], more[left], at[left], None, signed(mix(sort.whole[left])))
 
     def run(batches):
-        waiting, held = [], 0
-        for g, whole in _bounded_groups(batches, most):
-            if not whole:
-                yield from single(g)
+        waiting, held = {}, 0
+        for g, dealt in _pieces_of(batches, most):
+            if g.num_rows < 2 and not dealt:
                 continue
-            if g.num_rows < 2:
-                continue
-            waiting.append(g)
+            size = len(g.column("body")[0].as_py()) if g.column("whole")[0].as_py() else length
+            t = waiting.setdefault(size, [[], [], 0])
+            t[0].append(g)
+            t[1].append(dealt)
+            t[2] += g.num_rows
             held += g.num_rows
-            if held >= gather:
-                yield from flush(waiting)
-                waiting, held = [], 0
-        if waiting:
-            yield from flush(waiting)
+            if t[2] >= gather or held >= 10 * gather:
+                for k in [size] if t[2] >= gather else list(waiting):
+                    tables, flags, n = waiting.pop(k)
+                    held -= n
+                    yield from flush(tables, k, flags)
+        for size, (tables, flags, _) in waiting.items():
+            yield from flush(tables, size, flags)
 
     return run
 
 
-def _bounded_groups(batches, most: int):
-    """(rows, True) for each group of bkey of up to ``most`` rows; larger ones come in parts, with False."""
-    held, n, last = [], 0, None
-    for t in (t for b in batches for t in groups([b], ["bkey"])):
-        key = t.column("bkey")[0].as_py()
+def _pieces_of(batches, most: int):
+    """(rows, whether others of the key may be elsewhere) of each key and part, in pieces of at most ``most`` rows; markers come first."""
+    held, n, last, dealt = [], 0, None, False
+    for t in (t for b in batches for t in groups([b], ["bkey", "part"])):
+        key = (t.column("bkey")[0].as_py(), t.column("part")[0].as_py())
         if key != last:
-            if held:
-                yield pa.concat_tables(held), n <= most
-            held, n, last = [], 0, key
-        held.append(t)
-        n += t.num_rows
-        if n > most:
-            yield pa.concat_tables(held), False
-            held = []
-    if held:
-        yield pa.concat_tables(held), n <= most
+            if n:
+                yield pa.concat_tables(held), dealt
+            held, n, last, dealt = [], 0, key, key[1] > 0
+            limit = VERIFIED + 1 if t.column("whole")[0].as_py() else most  # groups of runs are bounded already
+        marked = t.column("body").null_count
+        dealt |= marked > 0
+        t = t.slice(marked)
+        while t.num_rows:
+            part = t.slice(0, limit - n)
+            held.append(part)
+            n += part.num_rows
+            t = t.slice(part.num_rows)
+            if n == limit:
+                dealt = True
+                yield pa.concat_tables(held), True
+                held, n = [], 0
+    if n:
+        yield pa.concat_tables(held), dealt
+
+
+def _again(length: int):
+    """Windows (window, at) of texts as strings to be sorted under their own hash."""
+
+    def run(batches):
+        for b in batches:
+            keys, more, todo = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False), b.column(3)
+            for i, j, buf, offs in slices(b.column(1)):
+                rows = todo.slice(i, j - i)
+                flat, doc = rows.flatten(), np.repeat(np.arange(j - i), np.asarray(rows.value_lengths()))
+                at = flat.field(1).to_numpy()
+                raw = buf.tobytes()
+                for x in range(0, len(doc), 10_000):
+                    d, s = doc[x : x + 10_000], at[x : x + 10_000]
+                    body = [raw[p : p + length] for p in (s + offs[d]).tolist()]
+                    yield pa.RecordBatch.from_arrays([flat.field(0).slice(x, len(d)), pa.array(np.zeros(len(d), np.int64)), pa.array(keys[i + d]), pa.array(more[i + d]), pa.array(s), pa.array(np.zeros(len(d), bool)), pa.array(body, pa.binary())], names=["bkey", "part", "key", "more", "at", "whole", "body"])
+
+    return run
 
 
 _CUT = "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
@@ -369,7 +472,14 @@ def _cut(batches):
         )
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 64, most: int = 4096) -> DataFrame:
+def _sort(blocks: DataFrame, length: int, most: int) -> DataFrame:
+    """Spans, and windows left open, of strings (see _BLOCK)."""
+    # a marker of a dealt key comes before the key's rows
+    rows = blocks.repartition("bkey", "part").sortWithinPartitions("bkey", "part", F.col("body").isNotNull())
+    return settle(rows.mapInArrow(_sorted_blocks(length, most=most), _FOUND), "suffix-sorted")
+
+
+def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 32, most: int = 4096, often: int = OFTEN) -> DataFrame:
     """(row, n_bytes, n_removed, spans, kept) of ``docs(doc_id, text)``: texts without bytes inside repeated strings.
 
     ``row`` is a struct of all columns of docs but the text. ``kept`` is the remaining
@@ -378,27 +488,34 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 64, most: int =
     Strings are judged on the input, never across documents; a string may repeat within
     its own document. Texts below ``length`` bytes, empty and null texts (empty) stay
     whole. Repeated rows are copies of each other. doc_id may be null. No rows give none.
+    Nothing is removed on a hash alone: every string that counts as repeated was equal byte
+    by byte to its neighbour in the order of suffixes. Documents are told apart by 96 bits
+    of hashes of doc_id and text.
     """
     if not BLOCK < length <= 1000 or not 8 <= gram <= length - BLOCK:
         raise ValueError("length must be in 33..1000 and gram in 8..length - 32")
     spark = docs.sparkSession
     small_batches(spark)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
-    docs = docs.select(row, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
-    found = docs.select("key", "text").mapInArrow(_anchored(length, gram), "anchor long, whole long, key long, span long")
-    kinds = found.repartition("anchor").sortWithinPartitions("anchor", "whole").mapInArrow(_decided, "key long, anchor long, span long, kind int")
+    named = [F.col("doc_id").cast("long"), F.col("text").cast("string")]
+    docs = docs.select(row, F.xxhash64(*named).alias("key"), F.col("text").cast("string").alias("text"), F.hash(*named).alias("more"))
+    doc = ["key", "more"]
+    read = docs.select("key", "text", "more")
+    found = read.mapInArrow(_anchored(length, gram, often), "anchor long, part long, whole long, key long, more int, span long")
+    kinds = found.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "whole").mapInArrow(_decided, "key long, more int, anchor long, span long, whole long, kind int")
     kinds = settle(kinds, "suffix-kinds")
 
-    todo = kinds.where("kind > 0").groupBy("key").agg(F.collect_list(F.struct("anchor", "span")).alias("todo"))
-    blocks = docs.select("key", "text").join(todo, "key").mapInArrow(_blocks(length), "bkey long, key long, at long, body binary")
-    sorted_ = settle(blocks.repartition("bkey").sortWithinPartitions("bkey").mapInArrow(_sorted_blocks(length, most), "key long, s long, e long, window long"), "suffix-sorted")
-    wide = sorted_.where("e IS NULL")
-    twice = wide.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    wide = wide.join(twice, "window").select("key", "s", (F.col("s") + length).alias("e"))
-
-    start = F.shiftright("span", 20)
-    full = kinds.where("kind <> 1").select("key", start.alias("s"), (start + F.shiftright("span", 10).bitwiseAND(1023) + length).alias("e"))
-    spans = full.unionByName(sorted_.where("e IS NOT NULL").select("key", "s", "e")).unionByName(wide)
-    marks = spans.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("marks"))
-    cut = docs.join(marks, "key", "left").select("row", "text", "marks")
+    # sets, as each copy of a repeated row gives the same
+    todo = kinds.groupBy(*doc).agg(F.collect_set(F.struct("anchor", "span", "whole", "kind")).alias("todo"))
+    blocks = read.join(todo, doc).select("key", "text", "more", "todo").mapInArrow(_blocks(length, often), _BLOCK)
+    spans = _sort(blocks, length, most)
+    open_ = spans.where("e IS NULL")
+    twice = open_.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    left = settle(open_.join(twice, "window").groupBy(*doc).agg(F.collect_set(F.struct("window", F.col("s").alias("at"))).alias("todo")), "suffix-open")
+    if left.limit(1).count():
+        last = read.join(left, doc).select("key", "text", "more", "todo").mapInArrow(_again(length), _BLOCK)
+        spans = spans.unionByName(_sort(last, length, 1 << 40))
+
+    marks = spans.where("e IS NOT NULL").groupBy(*doc).agg(F.collect_set(F.struct("s", "e")).alias("marks"))
+    cut = docs.join(marks, doc, "left").select("row", "text", "marks")
     return cut.mapInArrow(_cut, f"row {cut.schema['row'].dataType.simpleString()}, {_CUT}")
