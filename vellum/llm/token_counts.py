@@ -3,8 +3,10 @@
 Each distinct pre-token (a word with its leading space mark) is inserted in a trie. The
 best segmentation score of a prefix depends on the prefix alone, so a node's forward score
 and token count are computed once, when the node is made, whatever number of words pass
-through it; a word's count is read at its terminal node. Each worker keeps the trie and a
-table from a pre-token's hash to its terminal for all its texts, both bounded.
+through it; a word's count is read at its terminal node. The pieces that end at a new
+node come from an automaton over the vocabulary. Each worker keeps the trie and a table
+from a pre-token's hash to its terminal for all its texts, both bounded; what a word has
+beyond DEPTH characters is scored in a window of the longest piece, outside the trie.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from vellum.llm._text import Words, slices
 SPACE = "▁"
 #: Nodes of a worker's trie, and words of its table, after which they are started anew.
 MOST_NODES, MOST_WORDS = 300_000, 1_000_000
+#: Characters of a word that become nodes.
+DEPTH = 256
 _open: dict = {}
 
 
@@ -39,31 +43,60 @@ class Trie:
     """Forward scores of all prefixes of the words inserted so far. A character outside the vocabulary is its UTF-8 bytes."""
 
     def __init__(self, scores: dict[str, float]):
+        import ahocorasick
+
         self.scores, self.most = scores, max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - 10.0
+        self.automaton = ahocorasick.Automaton()
+        for piece, score in (scores or {"": 0.0}).items():
+            if piece:
+                self.automaton.add_word(piece, (len(piece), score))
+        self.automaton.make_automaton()
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[tuple[int, str], int] = {}
         self.score, self.count = [0.0], [0]
 
-    def insert(self, word: str) -> int:
-        """The terminal node of a word."""
+    def insert(self, word: str) -> tuple[float, int]:
+        """(score, tokens) of a word: of its terminal node, or beyond DEPTH of its end."""
         node, path, child = 0, [0], self.child
-        for i, c in enumerate(word):
-            nxt = child.get((node, c))
-            if nxt is None:
-                best, count = self.score[node] + self.unknown, self.count[node] + len(c.encode("utf-8", "replace"))
-                for j in range(max(0, i + 1 - self.most), i + 1):
-                    s = self.scores.get(word[j : i + 1])
-                    if s is not None and self.score[path[j]] + s > best:
-                        best, count = self.score[path[j]] + s, self.count[path[j]] + 1
-                nxt = child[node, c] = len(self.score)
-                self.score.append(best)
-                self.count.append(count)
+        score, count = self.score, self.count
+        depth = min(len(word), DEPTH)
+        known = 0
+        while known < depth and (nxt := child.get((node, word[known]))) is not None:
             node = nxt
             path.append(node)
-        return node
+            known += 1
+        if known == len(word):
+            return score[node], count[node]
+        # (score, tokens) of the prefixes that a piece may follow: prefix i is at i - base
+        base = max(0, known + 1 - self.most)
+        last = [(score[p], count[p]) for p in path[base:]]
+        ends = self.automaton.iter(word, base) if self.scores else iter(())
+        end, piece = next(ends, (len(word), None))
+        while end < known:
+            end, piece = next(ends, (len(word), None))
+        for i in range(known, len(word)):
+            s, n = last[i - base]
+            best, tokens = s + self.unknown, n + len(word[i].encode("utf-8", "replace"))
+            while end == i:  # longer pieces come first
+                length, value = piece
+                s, n = last[i + 1 - length - base]
+                if s + value > best:
+                    best, tokens = s + value, n + 1
+                end, piece = next(ends, (len(word), None))
+            last.append((best, tokens))
+            if i < depth:
+                child[node, word[i]] = len(score)
+                node = len(score)
+                score.append(best)
+                count.append(tokens)
+            if len(last) > 2 * self.most + 64:
+                cut = len(last) - self.most - 1
+                del last[:cut]
+                base += cut
+        return last[-1]
 
 
 def _counter(model: str):
@@ -91,8 +124,7 @@ def _counter(model: str):
                     # in order, so that words with a common prefix follow each other
                     text = sorted((raw[w.start[first[i]] : w.end[first[i]]], i) for i in ask.tolist())
                     for body, i in text:
-                        node = trie.insert(SPACE + body.decode("utf-8", "replace"))
-                        n[i], s[i] = trie.count[node], trie.score[node]
+                        s[i], n[i] = trie.insert(SPACE + body.decode("utf-8", "replace"))
                         if len(trie.score) > 2 * MOST_NODES:
                             trie.clear()
                     if len(old.keys) + len(new.keys) > MOST_WORDS:
