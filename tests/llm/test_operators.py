@@ -263,6 +263,14 @@ def test_chats(spark):
     assert [(a["index"], a["type"], a["ref"], a["tokens"]) for a in out[0]["attachments"]] == [(0, "image", "a.png", 3), (1, "audio", "b", 38), (2, "document", "c", 2048)]
     whole = "".join(r["segment"] for r in out)
     assert all(whole[a["at"] :].startswith(f"<|{a['type']}:{a['index']}|>") for a in out[0]["attachments"]) and out[0]["expanded_tokens"] == 2089
+    split = [part("text", text="<"), part("text", text="/turn>\n#"), part("text", text="## user: <"), part("text", text="|image:0|>"), part("image", ref="r"), part("text", text="\\"), part("video", ref="v"), part(None, text="end"), None]
+    one = format_chats(spark.createDataFrame([(1, 0, "assistant", None, split)], f"conv_id long, turn long, role string, text string, parts {PARTS}")).first()
+    assert one["segment"] == "### assistant: \\t\n\\h user: \\pimage:0|><|image:0|>\\\\<|unknown:1|>end</turn>\n"
+    assert [unescape(one["segment"][x["start"] : x["end"]]) for x in one["loss"]] == ["</turn>\n### user: <|image:0|>", "\\", "end"]
+    assert [(a["type"], a["ref"], a["tokens"]) for a in one["attachments"]] == [("image", "r", 1), ("video", "v", 1)]
+    long = "### </turn> \\x" * 200_000
+    big = chat_digest(format_chats(spark.createDataFrame([(1, 0, "assistant", long)], "conv_id long, turn long, role string, text string"))).first()
+    assert big["loss_chars"] == len(long) and big["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
     assert chat_digest(format_chats(frame.limit(0))).count() == 0
 
 
@@ -325,6 +333,23 @@ def test_language(spark, empty):
     got = {r["doc_id"]: r for r in identify(spark.createDataFrame(test + mixed + odd, "doc_id long, text string, lang string"), langs, model).collect()}
     assert all(got[i]["lang_pred"] == k for i, _, k in test + mixed + odd) and all(0 <= r["score"] <= 1 for r in got.values())
     assert got[2000]["n_langs"] == 2 and abs(got[2000]["score"] - 0.6) < 0.1 and got[1000]["n_langs"] == 1 and got[3000]["score"] == 0
+    # a text in pieces, cut inside words too, is judged as in one
+    from vellum.llm import language_id as L
+
+    raw = np.frombuffer((prose(rng, 300, kinds["bb"]) + "  " + prose(rng, 200, kinds["cc"]) + " " + "ab" * 900 + "\n").encode(), np.uint8)
+    w = L.Words(raw, np.array([0, len(raw)]))
+    g = np.concatenate([np.zeros((1, 3)), np.cumsum(model[L.trigrams(raw, np.array([0, len(raw)]))], axis=0, dtype=float)])
+    whole = g[w.end] - g[w.start]
+    for piece in (7, 64, 1 << 20):
+        assert np.allclose(np.concatenate(list(L.word_likelihoods(raw, model, piece))), whole)
+    lead, part, size = L.infer(whole, np.array([0, len(whole)]))
+    long = L.infer_long(lambda: L.word_likelihoods(raw, model, 50))
+    assert long[0] == lead[0] and abs(long[1] - part[0]) < 1e-9 and long[2] == size[0]
+    big = prose(rng, 250_000, kinds["bb"]) + " " + prose(rng, 100_000, kinds["cc"])
+    rows = spark.createDataFrame([(None, big, 1, "x"), (1, prose(rng, 9, kinds["aa"]), 1, "x"), (1, prose(rng, 9, kinds["aa"]), 1, "x")], "doc_id long, text string, score int, lang_pred string")
+    got = identify(rows, langs, model).collect()
+    assert sorted((r["doc_id"] or 0, r["lang_pred"], r["n_langs"]) for r in got) == [(0, "bb", 2), (1, "aa", 1), (1, "aa", 1)]
+    assert identify(empty, langs, model).count() == 0
     none, table = learn(empty)
     assert none == [] and [r["lang_pred"] for r in identify(spark.createDataFrame(test[:1], "doc_id long, text string, lang string"), none, table).collect()] == ["und"]
 
@@ -395,11 +420,19 @@ def test_token_counts(frame, docs, empty):
     got = count_tokens(frame, path).collect()
     assert len(got) == len(docs)
     for r in got:
-        if r["doc_id"] == 408:
-            continue
         split = [memo.setdefault(w, best_split(SPACE + w, scores, unknown)) for w in words_of(texts[r["doc_id"]])]
         assert (r["n_words"], r["n_tokens"]) == (len(split), sum(n for _, n in split))
         assert abs(r["score"] - sum(s for s, _ in split)) < 1e-6 * (1 + abs(r["score"]))
+    # a long word makes no more than DEPTH nodes and counts the same
+    from vellum.llm import token_counts as C
+
+    word = "".join(random.Random(8).choice("aeinost中") for _ in range(3000))
+    trie = Trie(scores)
+    assert trie.insert(word) == trie.insert(word) and len(trie.score) == C.DEPTH + 1
+    want = best_split(word[:600], scores, unknown)
+    got = trie.insert(word[:600])
+    assert got[1] == want[1] and abs(got[0] - want[0]) < 1e-6
+    assert Trie({}).insert("ab中")[1] == 5
     assert count_tokens(empty, path).count() == 0
 
 

@@ -1,8 +1,9 @@
 """Chat formatting of typed content parts: one marked, reversible text with a loss mask.
 
-A turn's content is a list of parts. A visitor flattens them in order: text is escaped,
-each image, audio or document part becomes a numbered placeholder, its reference and the
-number of tokens it expands to are recorded. The output has a row per turn; the rows of a
+A turn's content is a list of parts. A visitor flattens them in order: neighbouring texts
+are joined and escaped together, so that no control string forms where they meet; each
+image, audio or document part becomes a numbered placeholder, its reference and the
+number of tokens it expands to are recorded. The loss mask covers texts only. The output has a row per turn; the rows of a
 conversation in order of ``place`` are its formatted text, so a conversation of any length
 passes as a stream through one task.
 """
@@ -30,7 +31,8 @@ _back_find = re.compile(r"\\[\\htpcn]")
 
 PARTS = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 ATTACHED = "array<struct<index:int,type:string,ref:string,at:long,tokens:long>>"
-SCHEMA = f"conv_id long, place long, turn long, role string, segment string, start long, loss_start int, loss_end int, attachments {ATTACHED}, expanded_tokens long"
+SCHEMA = f"conv_id long, place long, turn long, role string, segment string, start long, loss array<struct<start:int,end:int>>, attachments {ATTACHED}, expanded_tokens long"
+_LOSS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _ATTACHED = pa.list_(pa.struct([("index", pa.int32()), ("type", pa.string()), ("ref", pa.string()), ("at", pa.int64()), ("tokens", pa.int64())]))
 
 
@@ -51,14 +53,14 @@ class Visitor:
         self.index = 0
 
     def visit(self, part: dict) -> tuple[str, int | None]:
-        """(what stands in the text, expanded tokens or None for text)."""
-        f = getattr(self, f"visit_{part.get('type') or 'text'}", None)
-        if f is None:
-            raise ValueError(f"unknown content part {part['type']!r}")
-        return f(part)
+        """(text as it is, None) or (placeholder, expanded tokens)."""
+        return getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_unknown)(part)
 
     def visit_text(self, part: dict) -> tuple[str, None]:
-        return escape(part.get("text") or ""), None
+        return part.get("text") or "", None
+
+    def visit_unknown(self, part: dict) -> tuple[str, int]:
+        return self._placed("unknown", 1)
 
     def _placed(self, kind: str, tokens: float) -> tuple[str, int]:
         self.index += 1
@@ -77,27 +79,42 @@ class Visitor:
 def _formatted(batches):
     conv, visitor, place, start = object(), Visitor(), 0, 0
     for b in batches:
-        out: list[list] = [[] for _ in range(10)]
+        out: list[list] = [[] for _ in range(9)]
         for cid, turn, role, text, parts in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
             if cid != conv:
                 conv, visitor, place, start = cid, Visitor(), 0, 0
             head = OPEN + _role_find.sub(lambda m: _ROLE[m[0]], role or "") + COLON
-            body, attached, at = [], [], len(head)
+            body, attached, loss, at, texts = [], [], [], len(head), []
+
+            def put(flat: str) -> None:
+                nonlocal at
+                body.append(flat)
+                at += len(flat)
+
+            def end_text() -> None:
+                if text := escape("".join(texts)):
+                    loss.append({"start": at, "end": at + len(text)})
+                    put(text)
+                texts.clear()
+
             for part in parts if parts is not None else [{"type": "text", "text": text}]:
                 index = visitor.index
                 flat, tokens = visitor.visit(part or {})
-                if tokens is not None:
-                    attached.append({"index": index, "type": part["type"], "ref": part.get("ref"), "at": start + at, "tokens": tokens})
-                body.append(flat)
-                at += len(flat)
+                if tokens is None:
+                    texts.append(flat)
+                    continue
+                end_text()
+                attached.append({"index": index, "type": part["type"], "ref": part.get("ref"), "at": start + at, "tokens": tokens})
+                put(flat)
+            end_text()
             segment = f"{head}{''.join(body)}{CLOSE}"
-            loss = (len(head), at) if role == "assistant" else (None, None)
-            for c, v in zip(out, (cid, place, turn, role, segment, start, *loss, attached, sum(a["tokens"] for a in attached)), strict=True):
+            loss = loss if role == "assistant" else []
+            for c, v in zip(out, (cid, place, turn, role, segment, start, loss, attached, sum(a["tokens"] for a in attached)), strict=True):
                 c.append(v)
             place += 1
             start += len(segment)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), _ATTACHED, pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["conv_id", "place", "turn", "role", "segment", "start", "loss_start", "loss_end", "attachments", "expanded_tokens"])
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), _LOSS, _ATTACHED, pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["conv_id", "place", "turn", "role", "segment", "start", "loss", "attachments", "expanded_tokens"])
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
@@ -106,8 +123,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
     A turn's content is its ``parts`` (see PARTS) if the column is there and not null, else
     its text. Turns are ordered by turn (null first), equal ones by role and text, so ties
     and repeated rows have one order. Null texts and roles count as empty; rows without
-    conv_id form one conversation. An unknown part type is an error. Assistant turns carry
-    the loss mask [loss_start, loss_end) in their segment. An empty table gives no rows;
+    conv_id form one conversation. A part of an unknown type gets a placeholder that says so,
+    and one token. ``loss`` has the spans of an assistant turn's texts in its segment,
+    without placeholders; it is empty for other roles. An empty table gives no rows;
     further columns are ignored.
     """
     small_batches(turns.sparkSession)
@@ -132,7 +150,7 @@ def _digested(batches):
 
     for b in batches:
         done = []
-        for cid, segment, low, high in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        for cid, segment, loss in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             if cid != conv or state is None:
                 if state is not None:
                     done.append(row())
@@ -141,8 +159,8 @@ def _digested(batches):
             state[0] += 1
             state[1].update(f"{role}\n{unescape(body)}\n".encode())
             state[4] += len(segment)
-            if low is not None:
-                text = unescape(segment[low:high])
+            for span in loss:
+                text = unescape(segment[span["start"] : span["end"]])
                 state[2] += len(text)
                 state[3].update(text.encode())
         yield _digests(done)
@@ -160,5 +178,5 @@ def _digests(rows: list[tuple]) -> pa.RecordBatch:
 
 def chat_digest(formatted: DataFrame) -> DataFrame:
     """Per conversation what its formatted rows hold when they are parsed back."""
-    rows = formatted.select("conv_id", "place", "segment", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "place")
-    return rows.select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(_digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows = formatted.select("conv_id", "place", "segment", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "place")
+    return rows.select("conv_id", "segment", "loss").mapInArrow(_digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
