@@ -9,6 +9,7 @@ word count for each further language, and the leading one of the best set is ret
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -17,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm._shared import small_batches
-from vellum.llm._text import _LOWER, _SPACE, Words, slices
+from vellum.llm._text import _LOWER, _SPACE, SLICE_BYTES, Words, slices
 
 #: Trigram buckets; with L languages the model holds L * BUCKETS numbers, whatever the corpus.
 BUCKETS = 1 << 14
 ROUNDS = 12
+#: Bytes times languages whose likelihoods are held at a time.
+HELD = 1 << 20
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
@@ -119,15 +122,82 @@ def infer(ll: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return lead, np.clip(part, 0.0, 1.0), size
 
 
+def word_likelihoods(buf: np.ndarray, table: np.ndarray, piece: int) -> Iterator[np.ndarray]:
+    """Log likelihoods [word, language] of the words of one text, read in pieces of bounded size; a word may span pieces."""
+    n, carry = len(buf), None
+    for a in range(0, n, piece):
+        b = min(a + piece, n)
+        lo, hi = max(a - 1, 0), min(b + 1, n)
+        t = trigrams(buf[lo:hi], np.array([0, hi - lo]))[a - lo : b - lo]
+        inside = ~_SPACE[buf[a:b]]
+        sums = np.zeros((b - a + 1, table.shape[1]))
+        np.cumsum(np.where(inside[:, None], table[t], 0), axis=0, dtype=np.float64, out=sums[1:])
+        edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        ll = sums[end] - sums[start]
+        if carry is not None:
+            if len(start) and start[0] == 0:
+                ll[0] += carry
+            else:
+                ll = np.concatenate([carry[None], ll])
+            carry = None
+        if len(end) and end[-1] == b - a and b < n:
+            carry, ll = ll[-1], ll[:-1]
+        if len(ll):
+            yield ll
+    if carry is not None:
+        yield carry[None]
+
+
+def infer_long(pieces: Callable[[], Iterator[np.ndarray]]) -> tuple[int, float, int]:
+    """What ``infer`` finds for one text whose words come in pieces, again for each round."""
+
+    def fit(allowed: np.ndarray) -> tuple[np.ndarray, float]:
+        share = allowed / allowed.sum()
+        for k in range(ROUNDS + 1):
+            gained, n, total = np.zeros(len(share)), 0, 0.0
+            for ll in pieces():
+                top = ll.max(axis=1)
+                w = np.exp(np.maximum(ll - top[:, None], -60)) * share
+                s = w.sum(axis=1)
+                if k == ROUNDS:
+                    total += float((np.log(s) + top).sum())
+                else:
+                    gained += (w / s[:, None]).sum(axis=0)
+                    n += len(ll)
+            if k < ROUNDS:
+                share = gained / n
+        return share, total
+
+    single, n = 0.0, 0
+    for ll in pieces():
+        single, n = single + ll.sum(axis=0), n + len(ll)
+    k = len(single)
+    share, full = fit(np.ones(k))
+    lead, score, size, penalty = int(single.argmax()), float(single.max()), 1, 0.5 * np.log(n + 1)
+    part = float(share[lead])
+    if full - score > penalty:
+        order = np.argsort(-share, kind="stable")
+        for m in range(2, k + 1):
+            allowed = np.zeros(k)
+            allowed[order[:m]] = 1
+            s, got = fit(allowed)
+            if got - (m - 1) * penalty > score:
+                score, size, lead, part = got - (m - 1) * penalty, m, int(s.argmax()), float(s.max())
+    return lead, min(max(part, 0.0), 1.0), size
+
+
 def _has_letter(body: bytes) -> bool:
     return any(c.isalpha() for c in body.decode("utf-8", "ignore"))
 
 
 def _predicted(langs: list[str], table: np.ndarray):
+    limit = max(1 << 10, min(SLICE_BYTES, HELD // max(1, len(langs))))
+
     def run(batches):
         for b in batches:
             pred, score, size = [], [], []
-            for _, _, buf, offs in slices(b.column(1)):
+            for _, _, buf, offs in slices(b.column(1), limit):
                 docs = len(offs) - 1
                 p, s, z = np.full(docs, -1), np.zeros(docs), np.zeros(docs, int)
                 w = Words(buf, offs)
@@ -136,7 +206,9 @@ def _predicted(langs: list[str], table: np.ndarray):
                 for d in np.flatnonzero(~known & (np.diff(offs) > 0)):
                     known[d] = _has_letter(buf[offs[d] : offs[d + 1]].tobytes())
                 has = np.flatnonzero((np.diff(w.first) > 0) & known)
-                if len(has) and langs:
+                if len(has) and langs and len(buf) > 2 * limit:  # one long text
+                    p[0], s[0], z[0] = infer_long(lambda buf=buf: word_likelihoods(buf, table, limit))
+                elif len(has) and langs:
                     g = np.zeros((len(buf) + 1, len(langs)))
                     np.cumsum(table[trigrams(buf, offs)], axis=0, dtype=np.float64, out=g[1:])
                     of = known[w.doc]
@@ -155,8 +227,8 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """(doc_id, lang_pred, score, n_langs) of ``docs(doc_id, text)`` under a learned model.
 
     ``und`` with score 0 for a null text, one without a letter, and for all texts if no
-    language was learned; ties go to the first language in order. Texts are read whole;
-    repeated rows are judged each by itself; doc_id may be null; no rows give none.
+    language was learned; ties go to the first language in order. Texts are read whole,
+    long ones in pieces for each round of inference, so memory is bounded; repeated rows are judged each by itself; doc_id may be null; no rows give none.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -97,7 +97,7 @@ def op6_language_id(spark, sf_dir):
     from vellum.llm.language_id import identify, learn
 
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     langs, model = learn(docs.where(~held_out).select("text", "lang"))
     return identify(docs.select("doc_id", "text"), langs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_langs")
 
