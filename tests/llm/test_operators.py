@@ -379,6 +379,69 @@ def test_mixing(frame, docs, empty, spark):
     assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-4 for k in one)
 
 
+def test_topics(spark):
+    """Texts of words of their own kind fall into topics of their own, whatever the partitions; a column takes their place."""
+    from vellum.llm import mixing
+
+    rng = random.Random(21)
+    words = {k: ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(30)] for k in range(4)}
+    rows = [(i, " ".join(rng.choice(words[i % 4]) for _ in range(40)) + " the of and", "s", "en", f"t{i % 3}") for i in range(400)]
+    rows += [(1000, None, "s", "en", None), (1001, "a b c", None, "en", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, subject string")
+    one, two = ({r["doc_id"]: r for r in mixing.mix_sources(frame.repartition(n), topics=4).collect()} for n in (1, 7))
+    assert one == two and one[1000]["topic"] == one[1001]["topic"] == "0"
+    kinds = defaultdict(Counter)
+    for i in range(400):
+        kinds[one[i]["topic"]][i % 4] += 1
+    assert len(kinds) == 4 and sum(max(c.values()) for c in kinds.values()) == 400
+    given = {r["doc_id"]: r["topic"] for r in mixing.mix_sources(frame, topic="subject").collect()}
+    assert given == {r[0]: r[4] for r in rows}
+
+
+def test_mixing_query(spark, tmp_path):
+    """Probabilities and the sample of the registered query against raking by plain loops over its cells."""
+    from vellum.llm.queries import QUERIES
+
+    rows = [(*d, len(d[1] or "")) for d in awkward()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op8_source_mixing"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    dims = ("source", "lang", "topic")
+    cells = Counter()
+    for r in got:
+        cells[tuple(r[d] for d in dims)] += r["n_tokens"]
+    total = sum(cells.values())
+    factor = dict.fromkeys(cells, 1.0)
+    wanted = []
+    for k, power in enumerate((0.7, 0.8, 0.9)):
+        tokens = Counter()
+        for c, n in cells.items():
+            tokens[c[k]] += n
+        raised = {v: n**power for v, n in tokens.items() if n}
+        wanted.append({v: x / sum(raised.values()) for v, x in raised.items()})
+    for _ in range(200):
+        for k in range(3):
+            have = Counter()
+            for c, n in cells.items():
+                have[c[k]] += n * factor[c]
+            for c in cells:
+                if have[c[k]] > 0:
+                    factor[c] *= wanted[k].get(c[k], 0.0) * total / have[c[k]]
+    capped = set()
+    while True:
+        scale = (0.5 * total - sum(cells[c] for c in capped)) / sum(n * factor[c] for c, n in cells.items() if c not in capped)
+        over = {c for c in cells if c not in capped and factor[c] * scale > 1}
+        if not over:
+            break
+        capped |= over
+    for r in got:
+        c = tuple(r[d] for d in dims)
+        assert abs(r["probability"] - (1.0 if c in capped else factor[c] * scale)) < 1e-6, r
+    p = np.array([r["probability"] for r in got])
+    assert abs(sum(r["kept"] for r in got) - p.sum()) < 5 * np.sqrt((p * (1 - p)).sum())
+    assert all(r["kept"] for r in got if r["probability"] == 1.0) and 0 < sum(r["kept"] for r in got) < len(got)
+
+
 def test_mixing_paths_agree_where_raking_is_slow(spark):
     """Sparse cells that take far more than 12 rounds, values without tokens, capped cells and given targets: one result on either path."""
     from vellum.llm import mixing

@@ -1,6 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Documents fall into cells by source, language and topic. Raking multiplies the token
+Documents fall into cells by source, language and topic. Topics are a column of their own
+or are fitted: long words are hashed to BUCKETS buckets, how many documents have each two
+of them is counted over all texts, the buckets are clustered by the leading eigenvectors
+of these counts, and a document's topic is the cluster that most of its long words are in.
+Raking multiplies the token
 weight of the cells by a factor per source, per language and per topic in turn until all
 three marginals hold. The factors, scaled so that the wanted share of tokens is expected
 and none exceeds 1, are the probabilities by which documents are sampled.
@@ -19,28 +23,84 @@ from vellum.llm._text import U, Words, slices
 DIMS = ["source", "lang", "topic"]
 #: Up to so many cells are raked on the driver; beyond, as tables.
 DRIVER_CELLS = 100_000
+#: Buckets of words that topics are fitted on: the driver gets at most BUCKETS ** 2 / 2 counts, whatever the corpus.
+BUCKETS = 512
 
 
-def _topical(topics: int, least: int):
-    """n_tokens (words) and topic: the bucket of the most frequent word of at least ``least`` bytes, the smallest hash on ties, 0 without one."""
+def _long_words(texts, least: int):
+    """(words of each text, text and bucket of each word of at least ``least`` bytes) of each slice."""
+    for _, _, buf, offs in slices(texts):
+        w = Words(buf, offs, lower=True)
+        long_ = w.end - w.start >= least
+        yield np.diff(w.first), w.doc[long_], (w.hashes()[long_] % U(BUCKETS)).astype(np.int64)
+
+
+def _counted(least: int):
+    """(cell, n): in how many texts both buckets of a cell are, summed over the task."""
+
+    def run(batches):
+        sums = np.zeros((BUCKETS, BUCKETS))
+        for b in batches:
+            for n, doc, bucket in _long_words(b.column(0), least):
+                for i in range(0, len(n), 512):
+                    has = np.zeros((min(512, len(n) - i), BUCKETS), np.float32)
+                    at = (doc >= i) & (doc < i + 512)
+                    has[doc[at] - i, bucket[at]] = 1
+                    sums += has.T @ has
+        cell = np.flatnonzero(np.triu(sums).ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(sums.ravel()[cell].astype(np.int64))], names=["cell", "n"])
+
+    return run
+
+
+def clustered(together: np.ndarray, topics: int) -> np.ndarray:
+    """Topic of each bucket from a symmetric matrix of counts; buckets that no text has are in topic 0."""
+    out, docs = np.zeros(len(together), np.int64), together.diagonal()
+    has = np.flatnonzero(docs > 0)
+    if len(has) <= topics:
+        out[has] = np.arange(len(has))
+        return out
+    x = together[np.ix_(has, has)]
+    # more often together than by chance
+    x = np.log1p(x * docs.max() / np.outer(docs[has], docs[has]))
+    x -= x.mean(axis=0)
+    value, vector = np.linalg.eigh((x - x.mean(axis=1, keepdims=True)))
+    e = vector[:, np.argsort(-np.abs(value), kind="stable")[:topics]]
+    e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-12)
+    # k-means from the most frequent bucket and then the farthest ones
+    centre = e[[int(docs[has].argmax())]]
+    for _ in range(topics - 1):
+        centre = np.vstack([centre, e[((e[:, None] - centre) ** 2).sum(axis=2).min(axis=1).argmax()]])
+    for _ in range(50):
+        at = ((e[:, None] - centre) ** 2).sum(axis=2).argmin(axis=1)
+        new = np.array([e[at == k].mean(axis=0) if (at == k).any() else centre[k] for k in range(topics)])
+        if np.allclose(new, centre):
+            break
+        centre = new
+    out[has] = at
+    return out
+
+
+def fit_topics(texts: DataFrame, topics: int, least: int = 5) -> np.ndarray:
+    """Topic of each bucket, from all ``texts(text)``."""
+    found = texts.mapInArrow(_counted(least), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    together = np.zeros(BUCKETS * BUCKETS)
+    together[found["cell"].to_numpy()] = found["n"].to_numpy()
+    together = together.reshape(BUCKETS, BUCKETS)
+    return clustered(together + np.triu(together, 1).T, topics)
+
+
+def _topical(topic_of: np.ndarray, least: int):
+    """n_tokens (words) and the topic that most long words are in: the first on ties, 0 without a long word."""
+    topics = int(topic_of.max(initial=0)) + 1
 
     def run(batches):
         for b in batches:
-            n, topic = [], []
-            for _, _, buf, offs in slices(b.column(1)):
-                w = Words(buf, offs, lower=True)
-                h = w.hashes()
-                long_ = w.end - w.start >= least
-                for d in range(len(offs) - 1):
-                    at = slice(w.first[d], w.first[d + 1])
-                    n.append(at.stop - at.start)
-                    own = h[at][long_[at]]
-                    if not len(own):
-                        topic.append(0)
-                        continue
-                    word, count = np.unique(own, return_counts=True)
-                    topic.append(int(word[count.argmax()] % U(topics)))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 2, 3, 4)), pa.array(n, pa.int64()), pa.array(topic, pa.int32())], names=["doc_id", "source", "lang", "text_key", "n_tokens", "topic"])
+            n, topic = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for words, doc, bucket in _long_words(b.column(1), least):
+                n.append(words)
+                topic.append(np.bincount(doc * topics + topic_of[bucket], minlength=len(words) * topics).reshape(-1, topics).argmax(axis=1))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 2, 3, 4, 5)), pa.array(np.concatenate(n)), pa.array(np.concatenate(topic).astype(str).tolist(), pa.string())], names=["doc_id", "source", "lang", "text_key", "given", "n_tokens", "topic"])
 
     return run
 
@@ -85,23 +145,27 @@ def _uniform(seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", "text_key"), F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def mix_sources(docs: DataFrame, targets: dict[str, dict] | None = None, powers: dict[str, float] | None = None, share: float = 0.5, topics: int = 8, seed: int = 1, keyed: bool = False) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: dict[str, dict] | None = None, powers: dict[str, float] | None = None, share: float = 0.5, topics: int = 8, topic: str | None = None, seed: int = 1, keyed: bool = False) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, probability, kept) of ``docs(doc_id, text, source, lang)``.
 
     ``targets`` gives shares of tokens by value for source, lang or topic; a marginal
     without them is flattened by its power in ``powers`` (source 0.7, lang 0.8, topic 0.9).
+    ``topic`` names a column of docs; without it topics "0", "1", ... are fitted (see above).
     Values that a given target leaves out get nothing. Targets that contradict each other
     or want more than there is are met as far as probabilities up to 1 allow. Tokens are
-    words of the whole text. Null sources and languages count as values of their own;
-    null and empty texts have no tokens, topic 0 and the probability of their cell. Every
+    words of the whole text. Null sources, languages and topics count as values of their own;
+    null and empty texts have no tokens, topic "0" and the probability of their cell. Every
     row is sampled by a hash of doc_id alone, so repeated rows of an id in one cell stay
     or go together; a row without doc_id is sampled by its text. ``keyed`` adds text_key,
     the text's hash. No rows give none.
     """
     small_batches(docs.sparkSession)
     powers = {"source": 0.7, "lang": 0.8, "topic": 0.9} | (powers or {})
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_key())
-    rows = settle(rows.mapInArrow(_topical(topics, 5), "doc_id long, source string, lang string, text_key long, n_tokens long, topic int"), "mixing-rows")
+    text, given = F.col("text").cast("string").alias("text"), F.lit(None) if topic is None else F.col(f"`{topic}`")
+    topic_of = fit_topics(docs.select(text), topics) if topic is None else np.zeros(BUCKETS, np.int64)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_key(), given.cast("string").alias("given"))
+    rows = rows.mapInArrow(_topical(topic_of, 5), "doc_id long, source string, lang string, text_key long, given string, n_tokens long, topic string")
+    rows = settle((rows if topic is None else rows.withColumn("topic", F.col("given"))).drop("given"), "mixing-rows")
     cells = settle(rows.groupBy(*DIMS).agg(F.sum("n_tokens").cast("double").alias("weight")), "mixing-cells")
     if cells.limit(DRIVER_CELLS + 1).count() <= DRIVER_CELLS:
         found = _on_driver(cells, targets or {}, powers, share)
@@ -119,7 +183,7 @@ def _on_driver(cells: DataFrame, targets: dict, powers: dict, share: float) -> D
     """(dims, probability), raked in numpy: at most DRIVER_CELLS rows."""
     spark = cells.sparkSession
     table = sorted(cells.collect(), key=lambda r: tuple((r[d] is not None, r[d]) if r[d] is not None else (False, "") for d in DIMS))
-    schema = "source string, lang string, topic int, probability double"
+    schema = cells.select(*DIMS).schema.add("probability", "double")
     if not table:
         return spark.createDataFrame([], schema)
     weight = np.array([r["weight"] or 0.0 for r in table])
