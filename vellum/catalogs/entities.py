@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vellum import providers
@@ -32,7 +31,7 @@ def mention_counts(spark, sf_dir):
 def _entries(spark, sf_dir):
     """Each document a partial graph: its mentions, with the plural as a variant."""
     m = _mentions(spark, sf_dir)
-    return m.select(F.col("source").alias("book"), F.lit("places").alias("category"), F.dense_rank().over(Window.partitionBy("source").orderBy("doc_id", "name")).alias("ord"), F.col("name").alias("canonical"), F.array(F.concat("name", F.lit("s")), F.concat("name", F.lit("ing")), F.lit("she"), F.lit("the other")).alias("variants"), F.lit("").alias("gender"), F.col("n").cast("string").alias("occurrences"))
+    return m.select(F.col("source").alias("book"), F.lit("places").alias("category"), F.concat(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit("\x02"), "name").alias("ord"), F.col("name").alias("canonical"), F.array(F.concat("name", F.lit("s")), F.concat("name", F.lit("ing")), F.lit("she"), F.lit("the other")).alias("variants"), F.lit("").alias("gender"), F.col("n").cast("string").alias("occurrences"))
 
 
 _ENTITIES = (
@@ -121,61 +120,64 @@ def inflection_pairs(spark, sf_dir):
     return a.join(n.select(F.col("name").alias("b"), F.lower("name").alias("k")), "k").where(T.is_inflection(F.col("a"), F.col("b"))).select("a", "b")
 
 
-_PEOPLE = [
-    ("b1", "Henry Foster", ["Foster"], "male", 5),
-    ("b1", "Mr. Foster", [], "unknown", 3),
-    ("b1", "Mrs. Foster", [], "unknown", 2),
-    ("b2", "Henry Foster", [], "male", 5),
-    ("b2", "Jack Foster", [], "male", 4),
-    ("b2", "Foster", ["Henry Foster"], "unknown", 3),
-    ("b2", "Mr. Foster", [], "unknown", 2),
-    ("b3", "James Kirk", ["Jim", "he", "the captain"], "male", 9),
-    ("b3", "Captain Kirk", ["kirk"], "", 7),
-    ("b3", "Jim", [], "unknown", 1),
-    ("b3", "Lenina", ["Lenina Crowne"], "female", 3),
-    ("b4", "Mustapha Mond", [], "male", 4),
-    ("b4", "The Controller", [], "unknown", 6),
-    ("b4", "Fanny", [], "", 2),
-]
-
-
-def _people(spark):
-    rows = [(b, "characters", i, c, v, g, str(n)) for i, (b, c, v, g, n) in enumerate(_PEOPLE)]
-    return E.collect_entries(spark.createDataFrame(rows, "book string, category string, ord int, canonical string, variants array<string>, gender string, occurrences string"))
-
-
-@query("""SELECT * FROM (VALUES
-    ('b1', 'Henry Foster', 'Foster,Mr. Foster', 8, 'male'), ('b1', 'Mrs. Foster', '', 2, 'female'),
-    ('b2', 'Henry Foster', 'Foster', 8, 'male'), ('b2', 'Jack Foster', '', 4, 'male'), ('b2', 'Mr. Foster', '', 2, 'male'),
-    ('b3', 'James Kirk', 'Captain Kirk,Jim', 17, 'male'), ('b3', 'Lenina', 'Lenina Crowne', 3, 'female'),
-    ('b4', 'Mustapha Mond', '', 4, 'male'), ('b4', 'The Controller', '', 6, 'unknown'), ('b4', 'Fanny', '', 2, 'unknown')) v(book, canonical, variants, occurrences, gender)""")
+#: Of each name in a source by its length: a full name, or two, with the surname alone and under a title.
+_FULL = f"""
+    nodes AS (SELECT source AS book, name, sum(n)::BIGINT AS n, length(name) % 3 AS r FROM mentions WHERE lower(name) NOT IN ({_IN(T.HONORIFICS)}) AND source IS NOT NULL GROUP BY source, name)"""
+
+
+def _people(spark, sf_dir):
+    """Entries of three kinds made of the mentions: one person of a surname, two of them, and one of either gender."""
+    m = _mentions(spark, sf_dir).where("source IS NOT NULL").where(~F.lower("name").isin(T.HONORIFICS))
+    n = m.groupBy(F.col("source").alias("book"), "name").agg(F.sum("n").alias("n")).withColumn("r", F.length("name") % 3)
+    entry = lambda k, kinds, name, gender, times: F.when(F.col("r").isin(kinds), F.struct(F.lit(k).alias("k"), name.alias("canonical"), F.lit(gender).alias("gender"), (F.col("n") * times).cast("string").alias("occurrences")))
+    called = lambda first: F.concat(F.lit(first), "name")
+    made = F.array(entry(0, [0, 1, 2], called("Jo "), "male", 5), entry(1, [1], called("Al "), "", 4), entry(2, [0, 1], F.col("name"), "", 1), entry(3, [0], called("Mr. "), "unknown", 2), entry(4, [2], called("Mrs. "), "", 3))
+    rows = n.select("book", "name", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("x"))
+    return E.collect_entries(rows.select("book", F.lit("characters").alias("category"), F.concat("name", F.lit("\x02"), F.col("x.k").cast("string")).alias("ord"), "x.canonical", F.array(F.lit("he"), F.lit("the other")).alias("variants"), "x.gender", "x.occurrences"))
+
+
+_PEOPLE = """
+    people AS (SELECT book, name, r, 'Jo ' || name AS canonical, CASE r WHEN 0 THEN array_to_string(list_sort([name, 'Mr. ' || name]), ',') ELSE '' END AS variants, CASE r WHEN 0 THEN 8 * n ELSE 5 * n END AS occurrences, 'male' AS gender FROM nodes
+        UNION ALL SELECT book, name, r, 'Al ' || name, '', 4 * n, 'unknown' FROM nodes WHERE r = 1 UNION ALL SELECT book, name, r, name, '', n, 'unknown' FROM nodes WHERE r = 1
+        UNION ALL SELECT book, name, r, 'Mrs. ' || name, '', 3 * n, 'female' FROM nodes WHERE r = 2)"""
+
+
+@query(f"WITH {_MENTIONS}, {_FULL}, {_PEOPLE} SELECT book, canonical, variants, occurrences, gender FROM people")
 def surname_attach(spark, sf_dir):
     """Short names join the only person of that surname; two persons of one surname, or of different gender, stay apart."""
-    out = E.merge_entities(_people(spark))
-    return out.select("book", "canonical", F.array_join("variants", ",").alias("variants"), F.col("occurrences").cast("int").alias("occurrences"), "gender")
+    out = E.merge_entities(_people(spark, sf_dir))
+    return out.select("book", "canonical", F.array_join("variants", ",").alias("variants"), "occurrences", "gender")
 
 
-@query("""SELECT * FROM (VALUES ('Henry Foster', 'Foster,Hal,Mr. Foster', true), ('Mrs. Foster', '', false), ('Bernard', 'Marx', true)) v(canonical, variants, hint_seeded)""")
+@query(f"""WITH {_MENTIONS}, {_FULL}, {_PEOPLE}
+    SELECT book, canonical, CASE WHEN r = 0 THEN array_to_string(list_sort([name, 'Mr. ' || name, 'Zed ' || name]), ',') ELSE variants END AS variants, r = 0 AS hint_seeded FROM people
+    UNION ALL SELECT book, 'Ghost ' || name, 'Spook ' || name, true FROM nodes WHERE r = 1""")
 def hint_seed(spark, sf_dir):
-    hints = spark.createDataFrame([("b1", "characters", 0, ["Hal", "henry foster"]), ("b1", "characters", 1, ["Bernard", "Marx"]), ("b1", "characters", 2, ["Alone"])], "book string, category string, ord int, names array<string>")
-    out = E.seed_hints(E.merge_entities(_people(spark)).where("book = 'b1'"), hints)
-    shown = F.filter("variants", lambda v: v != F.lower(v))
-    return out.select("canonical", F.array_join(shown, ",").alias("variants"), "hint_seeded")
-
-
-@query("""SELECT * FROM (VALUES ('b3', 0, 'rejected', 'James Kirk', 'James Kirk,Lenina'), ('b3', 1, 'ignored', 'Lenina', 'Lenina'),
-    ('b4', 0, 'merged', 'Controller Mond', 'Mustapha Mond,The Controller'), ('b4', 1, 'flagged', 'The Controller', 'Fanny,The Controller')) v(book, ord, verdict, canonical, members)""")
+    """A hint adds names to the entity that shares one; one that nobody shares becomes an entity; one name says nothing."""
+    people = _people(spark, sf_dir)
+    full = people.where("startswith(canonical, 'Jo ')").select("book", F.expr("substring(canonical, 4)").alias("name")).withColumn("r", F.length("name") % 3)
+    names = F.when(F.col("r") == 0, F.array(F.upper("name"), F.concat(F.lit("Zed "), "name"))).when(F.col("r") == 1, F.array(F.concat(F.lit("Ghost "), "name"), F.concat(F.lit("Spook "), "name"))).otherwise(F.array("name"))
+    hints = full.select("book", F.lit("characters").alias("category"), F.xxhash64("name").alias("ord"), names.alias("names"))
+    out = E.seed_hints(E.merge_entities(people), hints)
+    shown = F.filter("variants", lambda v: v != F.upper(v))
+    return out.select("book", "canonical", F.array_join(shown, ",").alias("variants"), "hint_seeded")
+
+
+@query(f"""WITH {_MENTIONS}, {_FULL}
+    SELECT book, name, CASE r WHEN 0 THEN 'ignored' WHEN 1 THEN 'merged' ELSE 'rejected' END AS verdict, CASE r WHEN 1 THEN name || ' Al Jo' ELSE 'Jo ' || name END AS canonical,
+        array_to_string(list_sort(CASE r WHEN 0 THEN ['Jo ' || name] WHEN 1 THEN ['Al ' || name, 'Jo ' || name] ELSE ['Jo ' || name, 'Mrs. ' || name] END), ',') AS members FROM nodes
+    UNION ALL SELECT book, name, 'flagged', 'Al ' || name, array_to_string(list_sort(['Al ' || name, name]), ',') FROM nodes WHERE r = 1""")
 def reconcile_guard(spark, sf_dir):
     """Genders that differ reject a merge, a medium confidence flags it, one known member is no merge; a name of foreign words is not taken."""
-    groups = [
-        ("b3", "characters", 0, ["James Kirk", "lenina"], "Nobody", "high"),
-        ("b3", "characters", 1, ["Lenina", "Ghost"], "Lenina", "low"),
-        ("b4", "characters", 0, ["Mustapha Mond", "the controller", "Ghost"], "Controller Mond", "high"),
-        ("b4", "characters", 1, ["The Controller", "Fanny"], "Nobody", "medium"),
-    ]
-    proposed = spark.createDataFrame(groups, "book string, category string, ord int, members array<string>, canonical string, confidence string")
-    out = E.judge_groups(E.merge_entities(_people(spark)), proposed)
-    return out.select("book", "ord", "verdict", "canonical", F.array_join("members", ",").alias("members"))
+    people = _people(spark, sf_dir)
+    full = people.where("startswith(canonical, 'Jo ')").select("book", F.expr("substring(canonical, 4)").alias("name")).withColumn("r", F.length("name") % 3)
+    called = lambda first: F.concat(F.lit(first), "name")
+    group = lambda k, members, canonical, confidence: F.struct(F.lit(k).alias("k"), members.alias("members"), canonical.alias("canonical"), F.lit(confidence).alias("confidence"))
+    high = F.when(F.col("r") == 0, group(0, F.array(called("Jo "), called("Lost ")), F.lit("Nobody"), "high")).when(F.col("r") == 1, group(0, F.array(F.upper(called("Jo ")), called("Al ")), F.concat("name", F.lit(" Al Jo")), "high")).otherwise(group(0, F.array(called("Jo "), called("Mrs. ")), F.lit("Nobody"), "high"))
+    proposed = full.select("book", "name", F.explode(F.filter(F.array(high, F.when(F.col("r") == 1, group(1, F.array(called("Al "), F.col("name")), F.lit("Nobody"), "medium"))), lambda g: g.isNotNull())).alias("g"))
+    proposed = proposed.select("book", F.lit("characters").alias("category"), F.concat("name", F.lit("\x02"), F.col("g.k").cast("string")).alias("ord"), "g.members", "g.canonical", "g.confidence")
+    out = E.judge_groups(E.merge_entities(people), proposed)
+    return out.select("book", F.split("ord", "\x02")[0].alias("name"), "verdict", "canonical", F.array_join("members", ",").alias("members"))
 
 
 @query("WITH RECURSIVE " + _ENTITIES + ", v AS (SELECT book, canonical, unnest(list_distinct(list_concat(names, list_transform(names, lambda x: x || 's'), list_transform(names, lambda x: x || 'ing')))) AS variant FROM entity) SELECT book, count(*) AS pairs, sum(length(variant))::BIGINT AS chars FROM v WHERE variant <> canonical AND lower(variant) <> lower(canonical) || 's' AND lower(canonical) <> lower(variant) || 's' AND lower(variant) <> lower(canonical) || 'es' AND lower(canonical) <> lower(variant) || 'es' GROUP BY book")
@@ -215,10 +217,21 @@ def run_preview(spark, sf_dir):
     return K.run_preview(sizes, "conv_id", "n", 0.001, 0.005)
 
 
-@query()
+_SPLIT = r"""
+    d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT doc_id, unnest(string_split(t, chr(10) || chr(10))) AS x, generate_subscripts(string_split(t, chr(10) || chr(10)), 1) AS i FROM d WHERE length(t) > 1000),
+    h AS (SELECT doc_id, i, x, j, j < greatest((length(x) + 999) // 1000, 1) - 1 AS alone FROM (SELECT *, unnest(range(0, greatest((length(x) + 999) // 1000, 1))) AS j FROM p)),
+    s AS (SELECT doc_id, substr(x, j * 1000 + 1, 1000) AS part, alone, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k FROM h),
+    w AS (SELECT doc_id, k, part, 0::BIGINT AS piece, NOT alone AS is_open, CASE WHEN alone THEN 0 ELSE length(part) + 2 END AS size FROM s WHERE k = 1 UNION ALL
+        SELECT s.doc_id, s.k, s.part, w.piece + CASE WHEN w.is_open AND NOT s.alone AND w.size + length(s.part) + 2 <= 1000 THEN 0 ELSE 1 END, NOT s.alone,
+            CASE WHEN s.alone THEN 0 WHEN w.is_open AND w.size + length(s.part) + 2 <= 1000 THEN w.size + length(s.part) + 2 ELSE length(s.part) + 2 END FROM w JOIN s ON s.doc_id = w.doc_id AND s.k = w.k + 1),
+    o AS (SELECT doc_id, piece, string_agg(part, chr(10) || chr(10) ORDER BY k) AS x FROM w GROUP BY ALL UNION ALL SELECT doc_id, 0, t FROM d WHERE length(t) <= 1000)"""
+
+
+@query(f"WITH RECURSIVE {_SPLIT} SELECT doc_id, piece, length(x) AS chars, md5(x) AS text_md5 FROM o")
 def split_text(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(K.split_text(F.replace("text", F.lit("\n"), F.lit("\n\n")), 1000)).alias("piece", "x"))
-    return d.select("doc_id", "piece", F.length("x").alias("chars"), F.md5("x").alias("text_md5"))
+    return d.select("doc_id", F.col("piece").cast("long").alias("piece"), F.length("x").cast("long").alias("chars"), F.md5("x").alias("text_md5"))
 
 
 @query(f"WITH {_MENTIONS}, c AS (SELECT source, doc_id, name, n FROM mentions WHERE n >= 2) SELECT source AS book, count(*) AS entries, sum(n)::BIGINT AS occurrences FROM c GROUP BY source")

@@ -49,8 +49,28 @@ def _sql_pairs(pairs):
     return _replaced_sql("{x}", pairs)
 
 
-_repair("ligature_repair", [("ffi", "ﬃ"), ("ff", "ﬀ"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("st", "ﬆ")], T.fix_ligatures, _sql_pairs(T.LIGATURES))
-_repair("mojibake_repair", [("é", "Ã©"), ("è", "Ã¨"), (" th", "Â th")], T.fix_mojibake, _sql_pairs(T.MOJIBAKE))
+_repair("ligature_repair", [("ffi", "ﬃ"), ("ff", "ﬀ"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("st", "ﬆ")], T.fix_ligatures, "replace(replace(replace(replace(replace(replace(replace({x}, chr(64256), 'ff'), chr(64257), 'fi'), chr(64258), 'fl'), chr(64259), 'ffi'), chr(64260), 'ffl'), chr(64261), 'st'), chr(64262), 'st')")
+_repair("mojibake_repair", [("é", "Ã©"), ("è", "Ã¨"), (" th", "Â th")], T.fix_mojibake, "replace(replace(replace({x}, chr(195) || chr(169), chr(233)), chr(195) || chr(168), chr(232)), chr(194) || ' ', ' ')")
+#: What each wrong sequence stands for, written out: code points of the sequence and of the character.
+_SEQUENCES = [((226, 8364, 8482), 39), ((226, 8364, 732), 39), ((226, 8364, 339), 34), ((226, 8364, 157), 34), ((226, 8364, 8221), 8212), ((226, 8364, 8220), 8211), ((194, 32), 32), ((195, 169), 233), ((195, 168), 232)]
+
+
+def _mojibake_sql():
+    x = "text"
+    for k, (_, right) in enumerate(_SEQUENCES):
+        x = f"replace({x}, ' {'taosdwbmi'[k]}', ' ' || chr({right}) || '{'taosdwbmi'[k]}')"
+    return x
+
+
+@query(f"SELECT doc_id, md5({_mojibake_sql()}) AS text_md5 FROM documents")
+def mojibake_all(spark, sf_dir):
+    """Each wrong sequence before words of one letter, and what it stands for in its place."""
+    x = F.col("text")
+    for k, (wrong, _) in enumerate(_SEQUENCES):
+        x = F.replace(x, F.lit(f" {'taosdwbmi'[k]}"), F.lit(" " + "".join(map(chr, wrong)) + "taosdwbmi"[k]))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.fix_mojibake(x)).alias("text_md5"))
+
+
 _repair("soft_hyphen", [("the", "t­he"), ("en", "e­n")], T.drop_soft_hyphens, _sql_pairs([(T.SOFT_HYPHEN, "")]))
 _repair("caret_noise", [(". ", "^^. "), (", ", "{12}, ")], T.drop_caret_noise, r"regexp_replace(regexp_replace({x}, '\^+', '', 'g'), '\{{[0-9]+\}}', '', 'g')")
 _repair("cr_midline", [("th", "t\rh"), (". ", ".\r ")], T.drop_inner_returns, r"regexp_replace({x}, '([\p{{L}}\p{{N}}_])\r([\p{{L}}\p{{N}}_])', '\1\2', 'g')")

@@ -14,10 +14,10 @@ from vellum.functions import vectorised
 # The characters and what they stand for are those of the repair rules.
 LIGATURES = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")]
 MOJIBAKE = [
-    ("â€™", "’"),
-    ("â€˜", "‘"),
-    ("â€œ", "“"),
-    ("â€\u009d", "”"),
+    ("â€™", "'"),
+    ("â€˜", "'"),
+    ("â€œ", '"'),
+    ("â€\u009d", '"'),
     ("â€”", "—"),
     ("â€“", "–"),
     ("Â ", " "),
