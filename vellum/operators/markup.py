@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import vectorised
-from vellum.functions.text import one_line
+from vellum.functions.text import NUMBER_ALONE, ROMAN_ALONE, is_chapter, one_line
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style"}
+FOREIGN = {"svg", "math"}
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Tags whose start ends an open one: the start tag and those it ends.
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -28,13 +29,22 @@ class Node:
         self.tag, self.attrs, self.kids, self.up = tag, attrs or {}, [], up
 
     def walk(self):
-        for k in self.kids:
-            if isinstance(k, Node):
-                yield k
-                yield from k.walk()
+        """All elements below in document order; a stack, as markup may be nested deeper than calls may."""
+        todo = [k for k in reversed(self.kids) if isinstance(k, Node)]
+        while todo:
+            n = todo.pop()
+            yield n
+            todo += [k for k in reversed(n.kids) if isinstance(k, Node)]
 
     def text(self, skip=()) -> str:
-        return "".join(k if isinstance(k, str) else "" if k.tag in skip else k.text(skip) for k in self.kids)
+        out, todo = [], list(reversed(self.kids))
+        while todo:
+            k = todo.pop()
+            if isinstance(k, str):
+                out.append(k)
+            elif isinstance(k, Node) and k.tag not in skip:
+                todo += reversed(k.kids)
+        return "".join(out)
 
     def inside(self, tags) -> bool:
         n = self.up
@@ -52,13 +62,31 @@ class Node:
         self.up.kids[at : at + 1] = new
 
 
+class Raw:
+    """Markup that is kept as it is: a comment or a marked section."""
+
+    __slots__ = ("source",)
+
+    def __init__(self, source: str):
+        self.source = source
+
+    def strip(self) -> str:
+        return ""
+
+
+def _cased(tag: str, attrs: list, source: str) -> tuple[str, list]:
+    """Names as written, which the parser lowers: in SVG and MathML their case counts."""
+    names = {x.lower(): x for x in re.findall(r"""[^\s=/>"']+""", re.sub(r"""=\s*("[^"]*"|'[^']*'|[^\s>]+)""", " ", source[1:]))}
+    return names.get(tag, tag), [(names.get(a, a), v) for a, v in attrs]
+
+
 class Tree(HTMLParser):
     """A forgiving tree builder: implied ends of paragraphs and items, void and raw elements, stray ends ignored."""
 
     def __init__(self, source: str):
         super().__init__(convert_charrefs=True)
         self.root = Node("")
-        self.at, self.head = self.root, []
+        self.at, self.head, self.foreign = self.root, [], 0
         self.feed(source)
         self.close()
 
@@ -70,18 +98,24 @@ class Tree(HTMLParser):
                 self.at = n.up
                 break
             n = n.up
+        if self.foreign or tag in FOREIGN:
+            self.foreign += tag in FOREIGN
+            tag, attrs = _cased(tag, attrs, self.get_starttag_text())
         new = Node(tag, dict(attrs), self.at)
         self.at.kids.append(new)
         if tag not in VOID:
             self.at = new
 
     def handle_startendtag(self, tag, attrs):
+        if self.foreign or tag in FOREIGN:
+            tag, attrs = _cased(tag, attrs, self.get_starttag_text())
         self.at.kids.append(Node(tag, dict(attrs), self.at))
 
     def handle_endtag(self, tag):
         n = self.at
         while n is not self.root:
-            if n.tag == tag:
+            if n.tag.lower() == tag:
+                self.foreign -= tag in FOREIGN
                 self.at = n.up
                 return
             n = n.up
@@ -89,6 +123,12 @@ class Tree(HTMLParser):
     def handle_data(self, data):
         self.at.kids.append(data)
 
+    def handle_comment(self, data):
+        self.at.kids.append(Raw(f"<!--{data}-->"))
+
+    def unknown_decl(self, data):
+        self.at.kids.append(Raw(f"<![{data}]]>"))
+
     def handle_decl(self, decl):
         self.head.append(f"<!{decl}>")
 
@@ -97,13 +137,24 @@ class Tree(HTMLParser):
 
 
 def render(node: Node) -> str:
-    out = []
-    for k in node.kids:
-        if isinstance(k, str):
-            out.append(k if node.tag in RAW else html.escape(k, quote=False))
-            continue
-        attrs = "".join(f' {a}="{html.escape(v or "")}"' for a, v in k.attrs.items())
-        out.append(f"<{k.tag}{attrs}/>" if k.tag in VOID or not k.kids and k.tag in ("meta", "link") else f"<{k.tag}{attrs}>{render(k)}</{k.tag}>")
+    out: list[str] = []
+    todo: list = [(k, node.tag in RAW) for k in reversed(node.kids)]
+    while todo:
+        k, raw = todo.pop()
+        if isinstance(k, Raw):
+            out.append(k.source)
+        elif isinstance(k, str):
+            out.append(k if raw else html.escape(k, quote=False))
+        elif isinstance(k, tuple):  # the end of an element
+            out.append(k[0])
+        else:
+            attrs = "".join(f' {a}="{html.escape(v or "")}"' for a, v in k.attrs.items())
+            if k.tag in VOID or not k.kids and k.tag in ("meta", "link"):
+                out.append(f"<{k.tag}{attrs}/>")
+                continue
+            out.append(f"<{k.tag}{attrs}>")
+            todo.append(((f"</{k.tag}>",), False))
+            todo += [(x, k.tag in RAW) for x in reversed(k.kids)]
     return "".join(out)
 
 
@@ -117,17 +168,22 @@ def serialise(tree: Tree) -> str:
 BLOCKS = "array<struct<pos:int,parent:int,depth:int,tag:string,elem_id:string,classes:array<string>,attrs:map<string,string>,text:string,ancestors:array<string>>>"
 
 
-def _blocks(source: str) -> list[dict]:
-    rows: list[dict] = []
+#: Elements with more text than this and elements inside have none of their own, as their parts have it.
+LONG_TEXT = 1 << 16
 
-    def visit(n: Node, parent: int, up: list[str]) -> None:
-        for k in n.kids:
-            if isinstance(k, Node):
-                pos = len(rows)
-                rows.append({"pos": pos, "parent": parent, "depth": len(up), "tag": k.tag, "elem_id": k.attrs.get("id"), "classes": (k.attrs.get("class") or "").split(), "attrs": {a: v or "" for a, v in k.attrs.items()}, "text": k.text(RAW).strip(), "ancestors": up})
-                visit(k, pos, [*up, k.tag])
 
-    visit(Tree(source).root, -1, [])
+def _blocks(source: str) -> list[dict]:
+    rows: list[dict] = []
+    todo: list = [(k, -1, 0, ()) for k in reversed(Tree(source).root.kids) if isinstance(k, Node)]
+    while todo:
+        k, parent, depth, up = todo.pop()
+        pos, inner = len(rows), [x for x in k.kids if isinstance(x, Node)]
+        text = k.text(RAW).strip() if k.tag not in ("html", "body") else ""
+        if inner and len(text) > LONG_TEXT:
+            text = ""
+        rows.append({"pos": pos, "parent": parent, "depth": depth, "tag": k.tag, "elem_id": k.attrs.get("id"), "classes": (k.attrs.get("class") or "").split(), "attrs": {a: v or "" for a, v in k.attrs.items()}, "text": text, "ancestors": list(up)})
+        above = up if k.tag in up else (*up, k.tag)  # each tag once
+        todo += [(x, pos, depth + 1, above) for x in reversed(inner)]
     return rows
 
 
@@ -146,9 +202,26 @@ def html_to_text(x: Column) -> Column:
     """Text nodes on lines of their own, without scripts and styles, runs of blank lines as one; no parser needed."""
     x = F.regexp_replace(x, r"(?is)<(script|style)\b.*?</\1\s*>", "")
     x = F.regexp_replace(F.regexp_replace(x, r"(?s)<!--.*?-->", ""), r"<[^>]*>", "\n")
+    x = F.when(x.rlike(OTHER_ENTITY), _unescaped(x)).otherwise(_plain_entities(x))
+    return F.regexp_replace(F.regexp_replace(x, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+#: A reference that is none of the six that need no table.
+OTHER_ENTITY = r"&(?!(?:lt|gt|quot|#39|nbsp|amp);)(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+
+
+_ENTITY = re.compile("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+@vectorised("string")
+def _unescaped(x: pd.Series) -> pd.Series:
+    return x.map(lambda t: _ENTITY.sub(lambda m: html.unescape(m[0]), t), na_action="ignore")
+
+
+def _plain_entities(x: Column) -> Column:
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         x = F.replace(x, F.lit(a), F.lit(b))
-    return F.regexp_replace(F.regexp_replace(x, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return x
 
 
 def strip_inline_style(x: Column) -> Column:
@@ -168,7 +241,7 @@ def used_tokens(block: DataFrame, keys: list[str]) -> DataFrame:
     return classes.unionByName(ids).distinct()
 
 
-REPAIRED = "struct<html:string,changed:boolean,steps:array<string>>"
+REPAIRED = "struct<html:string,changed:boolean,steps:array<string>,thoughts:array<string>>"
 _CHAPTER = re.compile(r"^(chapter|part|book|volume)\s+([ivxlcdm]+|\d+|[a-z]+)\b", re.I)
 _ALONE = re.compile(r"^([IVXLCDM]{1,8}\.?|\d{1,3}\.?)\s*$")
 _STARS = re.compile(r"^\s*(\*\s*){3,}\s*$")
@@ -178,7 +251,10 @@ def looks_like_heading(text: str) -> bool:
     return 0 < len(text) <= 150 and bool(_CHAPTER.match(text) or _ALONE.match(text) or (text.isupper() and len(text.split()) <= 8))
 
 
-def _repair(source: str, titles: set[str], dinkus: bool) -> dict:
+_THOUGHT = re.compile(r"\b(she|he|they|i)\s+(thought|wondered|realized|remembered|knew|felt)\b", re.I)
+
+
+def _repair(source: str, titles: set[str], dinkus: bool, headers: frozenset = frozenset()) -> dict:
     tree, steps = Tree(source), []
     root = tree.root
     for n in list(root.walk()):
@@ -203,25 +279,33 @@ def _repair(source: str, titles: set[str], dinkus: bool) -> dict:
         if n.tag in ("p", "div", "span") and 0 < len(text) <= 120 and text in titles and not n.inside(HEADINGS) and not any(k.tag in HEADINGS for k in n.walk()) and n in n.up.kids:
             n.replace()
             steps.append("title duplicate removed")
+        elif headers and n.tag in ("p", "div", "span") and text in headers and n in n.up.kids:
+            n.replace()
+            steps.append("running header removed")
         elif dinkus and n.tag == "p" and _STARS.match(n.text()):
             n.tag, n.attrs, n.kids = "hr", {"epub:type": "separator"}, []
             steps.append("scene break recovered")
-    return {"html": serialise(tree) if steps else source, "changed": bool(steps), "steps": steps}
+    thoughts = [" ".join(n.text().split())[:120] for n in root.walk() if n.tag == "p" and not any(k.tag == "em" for k in n.walk()) and _THOUGHT.search(n.text())]
+    return {"html": serialise(tree) if steps else source, "changed": bool(steps), "steps": steps, "thoughts": thoughts}
 
 
-def repair_markup(source: Column, titles: Column, conventional: Column) -> Column:
-    """struct(html, changed, steps): styles, presentation tags and empty spans gone, headings promoted, duplicates of titles removed.
+def repair_markup(source: Column, titles: Column, conventional: Column, headers: Column | None = None) -> Column:
+    """struct(html, changed, steps, thoughts): styles, presentation tags and empty spans gone, headings promoted, duplicates of titles removed.
 
-    ``titles`` is an array of strings; scene breaks are recovered in conventional books.
-    Documents without a change come back byte for byte.
+    ``titles`` is an array of strings; scene breaks are recovered in conventional books;
+    paragraphs that are one of the running ``headers`` go. ``thoughts`` are paragraphs
+    that tell a thought and have no emphasis. Documents without a change come back byte
+    for byte.
     """
+    none = {"html": None, "changed": False, "steps": [], "thoughts": []}
+    each = lambda y: {v for w in (y if y is not None else []) for v in (w, " ".join(w.split()))}
 
     @F.pandas_udf(REPAIRED)
-    def fixed(s: pd.Series, t: pd.Series, c: pd.Series) -> pd.DataFrame:
-        rows = [{"html": None, "changed": False, "steps": []} if x is None else _repair(x, {v for w in (y if y is not None else []) for v in (w, " ".join(w.split()))}, bool(z)) for x, y, z in zip(s, t, c, strict=True)]
-        return pd.DataFrame(rows, columns=["html", "changed", "steps"])
+    def fixed(s: pd.Series, t: pd.Series, c: pd.Series, h: pd.Series) -> pd.DataFrame:
+        rows = [none if x is None else _repair(x, each(y), bool(z), frozenset(each(g))) for x, y, z, g in zip(s, t, c, h, strict=True)]
+        return pd.DataFrame(rows, columns=list(none))
 
-    return fixed(source, titles, conventional)
+    return fixed(source, titles, conventional, F.array().cast("array<string>") if headers is None else headers)
 
 
 SECTIONS = "array<struct<section:int,title:string,html:string>>"
@@ -257,9 +341,16 @@ def split_html(source: pd.Series) -> pd.Series:
 
 
 def first_heading(block: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, title): the first h1, else the first h2, as one line of at most 120 characters."""
-    rank = F.when(F.col("tag") == "h1", 0).otherwise(1)
-    rows = block.where("tag IN ('h1', 'h2') AND length(text) BETWEEN 1 AND 200")
+    """(keys, title): the first h1, else the first h2, else the first short block that is a chapter mark or a lone number, as one line of at most 120 characters.
+
+    What is in navigation or asides does not count.
+    """
+    heading = F.col("tag").isin("h1", "h2")
+    rank = F.when(F.col("tag") == "h1", 0).when(heading, 1).otherwise(2)
+    line = F.col("text")
+    marked = ~F.col("tag").isin("title", "head", "html", "nav", "aside") & (F.length(line) <= 150) & ~line.contains("\n") & (is_chapter(line) | line.rlike(ROMAN_ALONE) | line.rlike(NUMBER_ALONE))
+    aside = F.array_contains("ancestors", "nav") | F.array_contains("ancestors", "aside")
+    rows = block.where(~aside & F.when(heading, F.length("text").between(1, 200)).otherwise(marked))
     return rows.groupBy(*keys).agg(F.min_by("text", F.struct(rank, "pos")).alias("t")).select(*keys, F.left(one_line(F.col("t")), F.lit(120)).alias("title"))
 
 
