@@ -27,15 +27,16 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
     for _ in range(most_rounds):
         if not seen[0]:
             break
+        least = max(LEAST, 1 << (seen[0] // HOT).bit_length())  # a power of two, so that rounds share their compiled code
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("lo"), F.count("*").alias("n")).select("u", F.least("lo", "u").alias("lo"), (F.col("n") > max(LEAST, seen[0] // HOT)).alias("hot"))
+        low = both.groupBy("u").agg(F.min("v").alias("lo"), F.count("*").alias("n")).select("u", F.least("lo", "u").alias("lo"), (F.col("n") > least).alias("hot"))
         centre = F.broadcast(low.where("hot").select("u", F.col("lo").alias("centre")))
         out = both.where("v > u").join(centre, "u", "left")
         rest = out.where("centre IS NULL").join(low, "u").select(F.col("v").alias("u"), F.col("lo").alias("v"))
         large = out.where("centre IS NOT NULL").select(F.col("v").alias("u"), F.col("centre").alias("v")).unionByName(rest)
-        least = large.groupBy("u").agg(F.min("v").alias("lo"))
-        small = large.join(least, "u").where("v <> lo").select(F.col("v").alias("u"), F.col("lo").alias("v"))
-        before, e = e, settle(small.unionByName(least.select("u", F.col("lo").alias("v"))).distinct(), name)
+        nearest = large.groupBy("u").agg(F.min("v").alias("lo"))
+        small = large.join(nearest, "u").where("v <> lo").select(F.col("v").alias("u"), F.col("lo").alias("v"))
+        before, e = e, settle(small.unionByName(nearest.select("u", F.col("lo").alias("v"))).distinct(), name)
         unsettle(before)
         now = _state(e)
         if now == seen:

@@ -23,7 +23,7 @@ from vellum.llm._text import U, Words, slices
 DIMS = ["source", "lang", "topic"]
 #: Up to so many cells are raked on the driver; beyond, as tables.
 DRIVER_CELLS = 100_000
-#: Buckets of words that topics are fitted on: the driver gets at most BUCKETS ** 2 / 2 counts, whatever the corpus.
+#: Buckets of words that topics are fitted on: one task gets at most BUCKETS ** 2 / 2 counts, whatever the corpus.
 BUCKETS = 512
 
 
@@ -81,13 +81,25 @@ def clustered(together: np.ndarray, topics: int) -> np.ndarray:
     return out
 
 
+def _fitted(topics: int):
+    def run(batches):
+        together = np.zeros(BUCKETS * BUCKETS)
+        for b in batches:
+            together[b.column(0).to_numpy()] = b.column(1).to_numpy()
+        together = together.reshape(BUCKETS, BUCKETS)
+        found = clustered(together + np.triu(together, 1).T, topics)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), pa.array(found)], names=["bucket", "topic"])
+
+    return run
+
+
 def fit_topics(texts: DataFrame, topics: int, least: int = 5) -> np.ndarray:
-    """Topic of each bucket, from all ``texts(text)``."""
-    found = texts.mapInArrow(_counted(least), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    together = np.zeros(BUCKETS * BUCKETS)
-    together[found["cell"].to_numpy()] = found["n"].to_numpy()
-    together = together.reshape(BUCKETS, BUCKETS)
-    return clustered(together + np.triu(together, 1).T, topics)
+    """Topic of each bucket, from all ``texts(text)``; one task clusters the counts, and BUCKETS rows reach the driver."""
+    found = texts.mapInArrow(_counted(least), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    out = np.zeros(BUCKETS, np.int64)
+    for bucket, topic in found.repartition(1).mapInArrow(_fitted(topics), "bucket int, topic long").collect():
+        out[bucket] = topic
+    return out
 
 
 def _topical(topic_of: np.ndarray, least: int):
