@@ -4,7 +4,7 @@ A byte-level tokenizer with the usual word pattern never lets a token cross from
 character that is not white space into white space. A text is therefore cut before each
 run of ASCII white space; the ids of the text are the ids of these units in order. Units
 repeat, so each worker keeps a bounded table from a unit's hash to its ids and asks the
-library only for units it does not know. Texts with white space outside ASCII, where a
+library only for units it does not know, JOINED at a time with a mark between them. Texts with white space outside ASCII, where a
 run may lie across such a cut, and long units go to the library as they are.
 """
 
@@ -22,7 +22,10 @@ LONG = 64
 #: Entries of the table after which it is started anew.
 MOST = 1_000_000
 SLICE = 1 << 20
+#: Stands between units that are asked for together: a blank and a control character, whose id no other unit has.
+MARK, JOINED = b" \x07", 256
 
+_BLANK = b" \t\n\x0b\x0c\r"
 _LEAD = np.zeros(256, bool)
 _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 _open: dict[str, Encoder] = {}
@@ -59,6 +62,10 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        # the mark's ids, if units around it keep theirs
+        one, two, mark = (self._ask([t])[0].tolist() for t in (" a", " b", MARK.decode()))
+        sure = self._ask([f" a{MARK.decode()} b"])[0].tolist() == one + mark + two and mark.count(mark[-1]) == 1
+        self.mark = mark if sure else None
         self._clear()
 
     def _clear(self) -> None:
@@ -78,6 +85,29 @@ class Encoder:
         count = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), self.dtype, int(count.sum())), count
 
+    def _ask_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for units, which begin with white space unless their text does not, and are joined where they do."""
+        plain = np.array([self.mark is not None and u[0] in _BLANK and u[-1] not in _BLANK and MARK[-1] not in u for u in units], bool)
+        at, other = np.flatnonzero(plain), np.flatnonzero(~plain)
+        texts = [MARK.join([*(units[i] for i in at[k : k + JOINED].tolist()), b""]).decode("utf-8", "replace") for k in range(0, len(at), JOINED)]
+        ids, _ = self._ask(texts) if texts else (np.zeros(0, self.dtype), None)
+        alone, alone_n = self._ask([units[i].decode("utf-8", "replace") for i in other.tolist()]) if len(other) else (np.zeros(0, self.dtype), np.zeros(0, np.int64))
+        n = np.zeros(len(units), np.int64)
+        if len(at):
+            size = len(self.mark)
+            end = np.flatnonzero(ids == self.mark[-1]) + 1
+            n[at] = np.diff(np.concatenate([[0], end])) - size
+            stay = np.ones(len(ids), bool)
+            for k in range(1, size + 1):
+                stay[end - k] = False
+            ids = ids[stay]
+        n[other] = alone_n
+        # units in their own order again
+        source = np.zeros(len(units), np.int64)
+        source[at], source[other] = np.cumsum(n[at]) - n[at], len(ids) + np.cumsum(alone_n) - alone_n
+        before = np.cumsum(n) - n
+        return np.concatenate([ids, alone])[np.repeat(source - before, n) + np.arange(int(n.sum()))], n
+
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice in a row, and the offsets of each text in them."""
         docs = len(offs) - 1
@@ -115,7 +145,8 @@ class Encoder:
             unknown &= ~has
         ask = np.flatnonzero(unknown)
         if len(ask):
-            ids, n = self._ask([text(short[first[i]]) for i in ask])
+            u = short[first[ask]]
+            ids, n = self._ask_units([raw[x:y] for x, y in zip(start[u].tolist(), end[u].tolist(), strict=True)])
             key_at[ask], key_count[ask] = self._keep(ids) + np.cumsum(n) - n, n
             self.new.add(keys[ask], key_at[ask], n)
             if len(self.new.keys) > 20_000 + len(self.old.keys) // 8:
