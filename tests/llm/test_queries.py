@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tests.llm.test_operators import awkward, base_figures, crc, cut_repeats, library_ids, prose
-from vellum.llm.queries import QUERIES
+from vellum.llm.queries import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")
@@ -115,3 +115,16 @@ def test_op9_and_op10(spark, at, rows):
         s.sort()
         n = sum(x for _, x in s)
         assert [o for o, _ in s] == np.cumsum([0, *(x for _, x in s[:-1])]).tolist() and n <= 2048 and n & (n - 1) == 0
+
+
+@pytest.mark.parametrize("name", ["op2_quality_rules", "op5_suffix_dedup"])
+def test_sql_says_the_same(spark, at, name):
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet/*.parquet'")
+    want = duck.execute(SQL[name])
+    columns = [c[0] for c in want.description]
+    got = QUERIES[name](spark, at)
+    assert sorted(got.columns) == sorted(columns)
+    assert Counter(tuple(r) for r in got.select(columns).collect()) == Counter(want.fetchall())
