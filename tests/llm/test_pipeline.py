@@ -99,3 +99,46 @@ def test_replacement_characters_of_the_input_stay(spark):
     got = c.repeated_passages(spark, docs, "").collect()
     assert {r["doc_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got)
     assert all(len(t) < 200 and t.count("\ufffd") == 2 for t in want.values())
+
+
+def test_workers_let_go(monkeypatch):
+    """A worker keeps its tokenizer from one task of packing to the next, not for tasks of other stages, and gives back what a task has freed."""
+    import pyarrow as pa
+
+    from vellum.llm import _bpe, _shared, minhash_dedup, mixing, packing, quality_rules, suffix_dedup
+    from vellum.llm.queries import BYTE_BPE, tokenizer_path
+
+    given = []
+    monkeypatch.setattr(_shared, "give_back", lambda: given.append(1))
+    path = tokenizer_path(BYTE_BPE)
+    text = pa.array(["some words that are encoded here, and more of them"])
+    ids = pa.array([1], pa.int64())
+
+    def docs():
+        yield pa.RecordBatch.from_arrays([ids, text, ids], names=["doc_id", "text", "text_key"])
+
+    others = {
+        "quality": quality_rules._measured,
+        "signatures": minhash_dedup._signed_rows(5, True, 48, 6),
+        "ties": minhash_dedup._tied(1, 1),
+        "links": minhash_dedup._verify(80),
+        "runs": suffix_dedup._anchored(200, 32, 64),
+        "blocks": suffix_dedup._sorted_blocks(200),
+        "topics": mixing._counted(5),
+        "packed": packing._packed(2048, 16),
+    }
+    for name, f in others.items():
+        first = list(packing._tokenized(path, 1)(docs()))
+        own = _bpe._open.get(path)
+        assert own is not None, name
+        assert list(packing._tokenized(path, 1)(docs())) == first and _bpe._open[path] is own, name
+        n = len(given)
+        rows = docs() if name in ("quality", "signatures") else iter(())
+        list(f(rows))
+        assert not _bpe._open, name
+        assert len(given) == n + 1, name
+    part = packing._tokenized(path, 1)(docs())  # a task that is not read to its end
+    next(part)
+    n = len(given)
+    part.close()
+    assert len(given) == n + 1

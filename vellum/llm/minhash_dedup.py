@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._shared import groups, long_lists, settle, signed, small_batches, text_key
+from vellum.llm._shared import frugal, groups, long_lists, settle, signed, small_batches, text_key
 from vellum.llm._text import U, Words, constants, mix, shingles, slices
 from vellum.llm.components import connected_components
 
@@ -82,7 +82,7 @@ def _signed_rows(words: int, lower: bool, bands: int, rows: int):
                 names=["doc_id", "text_key", "n_shingles", "h1", "h2", "bands", "signature"],
             )
 
-    return run
+    return frugal(run)
 
 
 def spanning(sig: np.ndarray, near: float, far: float) -> tuple[list[np.ndarray], np.ndarray]:
@@ -160,7 +160,7 @@ def _tied(near: float, far: float):
                 names=["a", "b", "key", "signature"],
             )
 
-    return run
+    return frugal(run)
 
 
 def _bucket_ties(firsts: DataFrame, percent: int, most: int) -> DataFrame:
@@ -244,7 +244,7 @@ def _verify(percent: int):
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return run
+    return frugal(run)
 
 
 def _full(words: int, lower: bool):
@@ -253,7 +253,7 @@ def _full(words: int, lower: bool):
             sets = [s.tobytes() for s in _sets(b.column("text"), words, lower)]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("places"), pa.array(sets, pa.binary())], names=["node", "places", "shingles"])
 
-    return run
+    return frugal(run)
 
 
 def _placed(dealt: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._shared import settle, small_batches, text_key, unsettle
+from vellum.llm._shared import frugal, settle, small_batches, text_key, unsettle
 from vellum.llm._text import U, Words, slices
 
 DIMS = ["source", "lang", "topic"]
@@ -50,7 +50,7 @@ def _counted(least: int):
         cell = np.flatnonzero(np.triu(sums).ravel())
         yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(sums.ravel()[cell].astype(np.int64))], names=["cell", "n"])
 
-    return run
+    return frugal(run)
 
 
 def clustered(together: np.ndarray, topics: int) -> np.ndarray:
@@ -90,7 +90,7 @@ def _fitted(topics: int):
         found = clustered(together + np.triu(together, 1).T, topics)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), pa.array(found)], names=["bucket", "topic"])
 
-    return run
+    return frugal(run)
 
 
 def fit_topics(texts: DataFrame, topics: int, least: int = 5) -> np.ndarray:
@@ -114,7 +114,7 @@ def _topical(topic_of: np.ndarray, least: int):
                 topic.append(np.bincount(doc * topics + topic_of[bucket], minlength=len(words) * topics).reshape(-1, topics).argmax(axis=1))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 2, 3, 4, 5)), pa.array(np.concatenate(n)), pa.array(np.concatenate(topic).astype(str).tolist(), pa.string())], names=["doc_id", "source", "lang", "text_key", "given", "n_tokens", "topic"])
 
-    return run
+    return frugal(run)
 
 
 def flattened(tokens: dict, power: float) -> dict:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm._bpe import SLICE, encoder
-from vellum.llm._shared import groups, settle, small_batches
+from vellum.llm._shared import frugal, groups, settle, small_batches
 from vellum.llm._text import U, mix, slices
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -54,7 +54,7 @@ def _tokenized(path: str, end_id: int):
                     names=["doc_id", "locality", "n", "width", "ids"],
                 )
 
-    return run
+    return frugal(run, keeps="vellum.llm._bpe")
 
 
 class Index:
@@ -167,7 +167,7 @@ def _packed(window: int, query_terms: int):
                     names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
 
-    return run
+    return frugal(run)
 
 
 def layout(tokens: dict[int, int], shard_tokens: int) -> dict[int, tuple[int, int]]:

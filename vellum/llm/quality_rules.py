@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._shared import settle, small_batches, text_key
+from vellum.llm._shared import frugal, settle, small_batches, text_key
 from vellum.llm._text import _SPACE, Prefixes, U, Words, mix, slices
 
 SYMBOLS = b"#*$%&|<>"
@@ -96,6 +96,7 @@ def stats(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+@frugal
 def _measured(batches):
     for b in batches:
         parts = [stats(buf, offs) for _, _, buf, offs in slices(b.column(1))]

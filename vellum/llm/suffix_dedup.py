@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._shared import groups, settle, signed, small_batches
+from vellum.llm._shared import frugal, groups, settle, signed, small_batches
 from vellum.llm._text import Prefixes, U, mix, slices
 
 BLOCK = 32
@@ -137,9 +137,10 @@ def _anchored(length: int, gram: int, often: int):
                         names=["anchor", "part", "whole", "key", "more", "span"],
                     )
 
-    return run
+    return frugal(run)
 
 
+@frugal
 def _decided(batches):
     """Of a stream sorted by anchor, part and run hash: (key, more, anchor, span, whole, kind); 0 to be verified as a whole, 1 undecided, 2 both.
 
@@ -242,7 +243,7 @@ def _blocks(length: int, often: int):
                 cols = ((bkey, new), (part, told), (keys[i + d], told), (more[i + d], told.astype(np.int32)), (first - offs[d], told), (whole, told.astype(bool)))
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in cols), pa.array([*body, *[None] * len(new)], pa.binary())], names=["bkey", "part", "key", "more", "at", "whole", "body"])
 
-    return run
+    return frugal(run)
 
 
 class Suffixes:
@@ -390,7 +391,7 @@ def _sorted_blocks(length: int, gather: int = 2000, most: int = 4096):
         for size, (tables, flags, _) in waiting.items():
             yield from flush(tables, size, flags)
 
-    return run
+    return frugal(run)
 
 
 def _pieces_of(batches, most: int):
@@ -435,12 +436,13 @@ def _again(length: int):
                     body = [raw[p : p + length] for p in (s + offs[d]).tolist()]
                     yield pa.RecordBatch.from_arrays([flat.field(0).slice(x, len(d)), pa.array(np.zeros(len(d), np.int64)), pa.array(keys[i + d]), pa.array(more[i + d]), pa.array(s), pa.array(np.zeros(len(d), bool)), pa.array(body, pa.binary())], names=["bkey", "part", "key", "more", "at", "whole", "body"])
 
-    return run
+    return frugal(run)
 
 
 _CUT = "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
 
+@frugal
 def _cut(batches):
     """Texts without their merged spans, and what is carried along."""
     for b in batches:
