@@ -17,8 +17,8 @@ def _pages(spark, sf_dir):
     return table(spark, sf_dir, "pages")
 
 
-def _blocks(spark, sf_dir):
-    return M.blocks(_pages(spark, sf_dir).select("page_id", "html"))
+def _blocks(spark, sf_dir, fields):
+    return M.blocks(_pages(spark, sf_dir).select("page_id", "html"), fields=fields)
 
 
 _TEXT = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', chr(10), 'g'),
@@ -37,7 +37,7 @@ _H1 = _UNESCAPED.format(x=r"trim(regexp_replace(regexp_extract(html, '(?is)<h1[^
 
 @query(f"SELECT page_id, left({_H1}, 120) AS title FROM pages WHERE {_H1} <> '' AND length({_H1}) <= 200")
 def first_heading(spark, sf_dir):
-    return M.first_heading(_blocks(spark, sf_dir), ["page_id"])
+    return M.first_heading(_blocks(spark, sf_dir, M.HEADING_FIELDS), ["page_id"])
 
 
 @query(r"SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages")
@@ -59,13 +59,13 @@ def strip_inline_style(spark, sf_dir):
 
 @query(r"""SELECT kind, token, count(*) AS pages FROM (SELECT DISTINCT page_id, 'class' AS kind, unnest(string_split(regexp_extract(t, '"([^"]*)"', 1), ' ')) AS token FROM (SELECT page_id, unnest(regexp_extract_all(html, ' class="[^"]*"')) AS t FROM pages)) GROUP BY ALL""")
 def used_classes(spark, sf_dir):
-    return M.used_tokens(_blocks(spark, sf_dir), ["page_id"]).groupBy("kind", "token").agg(F.count("*").alias("pages"))
+    return M.used_tokens(_blocks(spark, sf_dir, M.TOKEN_FIELDS), ["page_id"]).groupBy("kind", "token").agg(F.count("*").alias("pages"))
 
 
 @query(r"""SELECT page_id, count(*) AS elements, count(*) FILTER (t = 'a') AS links, count(*) FILTER (t = 'p') AS paragraphs, count(*) FILTER (t = 'li') AS items
     FROM (SELECT page_id, lower(unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '<script>', 'g'), '(?s)<!--.*?-->', '', 'g'), '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS t FROM pages) GROUP BY page_id""")
 def element_counts(spark, sf_dir):
-    return _blocks(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("elements"), F.count_if(F.col("tag") == "a").alias("links"), F.count_if(F.col("tag") == "p").alias("paragraphs"), F.count_if(F.col("tag") == "li").alias("items"))
+    return _blocks(spark, sf_dir, ["tag"]).groupBy("page_id").agg(F.count("*").alias("elements"), F.count_if(F.col("tag") == "a").alias("links"), F.count_if(F.col("tag") == "p").alias("paragraphs"), F.count_if(F.col("tag") == "li").alias("items"))
 
 
 @query(rf"""
@@ -76,7 +76,7 @@ def element_counts(spark, sf_dir):
 def title_dup_blocks(spark, sf_dir):
     """The heading repeated as a paragraph behind itself, and found there."""
     pages = _pages(spark, sf_dir).select("page_id", F.regexp_replace("html", r"(?is)<h1[^>]*>(.*?)</h1>", "$0<p class=\"dup\">$1</p>").alias("html"))
-    block = M.blocks(pages)
+    block = M.blocks(pages, fields=M.HEADING_FIELDS)
     titles = M.first_heading(block, ["page_id"])
     rows = block.where("tag IN ('p', 'div', 'span') AND length(text) BETWEEN 1 AND 120")
     from vellum.functions.text import one_line
@@ -94,7 +94,7 @@ def viewport_audit(spark, sf_dir):
 @query(r"""SELECT page_id, k - 1 AS ord, regexp_extract(a, 'href="([^"]*)"', 1) AS href, regexp_extract(a, '<a [^>]*>([^<]*)</a>', 1) AS title
     FROM (SELECT page_id, unnest(regexp_extract_all(n, '<li><a [^>]*>[^<]*</a>')) AS a, generate_subscripts(regexp_extract_all(n, '<li><a [^>]*>[^<]*</a>'), 1) AS k FROM (SELECT page_id, regexp_extract(html, '(?s)<nav>.*?</nav>') AS n FROM pages))""")
 def nav_entries(spark, sf_dir):
-    b = _blocks(spark, sf_dir).where((F.col("tag") == "a") & F.array_contains("ancestors", "nav") & F.array_contains("ancestors", "li"))
+    b = _blocks(spark, sf_dir, ["pos", "tag", "attrs", "text", "ancestors"]).where((F.col("tag") == "a") & F.array_contains("ancestors", "nav") & F.array_contains("ancestors", "li"))
     from pyspark.sql import Window
 
     order = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) - 1
@@ -122,7 +122,7 @@ _CSS = "c AS (SELECT page_id, 'body{margin:0}' || chr(10) || '.ad{color:red;font
 
 @query(rf"""WITH {_CSS} SELECT page_id, md5(replace(CASE WHEN ad THEN css ELSE replace(css, chr(10) || '.ad{{color:red;font-size:24px}}', '') END, chr(10) || '.dead-' || (page_id % 5) || ', #gone{{font-size: 13px}}', '')) AS css_md5 FROM c""")
 def css_live_rules(spark, sf_dir):
-    out = S.drop_unused(_sheets(spark, sf_dir), ["page_id"], M.used_tokens(_blocks(spark, sf_dir), ["page_id"]))
+    out = S.drop_unused(_sheets(spark, sf_dir), ["page_id"], M.used_tokens(_blocks(spark, sf_dir, M.TOKEN_FIELDS), ["page_id"]))
     return out.select("page_id", F.md5("css").alias("css_md5"))
 
 
@@ -153,7 +153,7 @@ _TOC = f"h AS (SELECT page_id, page_id % 7 AS book, CASE WHEN page_id % 7 = 3 OR
 
 def _toc(spark, sf_dir):
     p = _pages(spark, sf_dir).select("page_id")
-    heads = p.join(M.first_heading(_blocks(spark, sf_dir), ["page_id"]), "page_id", "left")
+    heads = p.join(M.first_heading(_blocks(spark, sf_dir, M.HEADING_FIELDS), ["page_id"]), "page_id", "left")
     some = F.when((F.col("page_id") % 7 == 3) | (F.col("page_id") % 5 == 0), None).otherwise(F.col("title"))
     docs = heads.select((F.col("page_id") % 7).alias("book"), "page_id", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".xhtml")).alias("href"), some.alias("title"))
     return H.play_order(docs, ["book"], "page_id", "title")
@@ -188,7 +188,7 @@ def pagebreak_audit(spark, sf_dir):
     """A page marker before each paragraph, without a name in every third page."""
     title = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit(' title="p'), F.col("page_id").cast("string"), F.lit('"')))
     pages = _pages(spark, sf_dir).select("page_id", F.replace("html", F.lit("<p>"), F.concat(F.lit('<span epub:type="pagebreak"'), title, F.lit("></span><p>"))).alias("html"))
-    found = M.pagebreaks(M.blocks(pages), ["page_id"])
+    found = M.pagebreaks(M.blocks(pages, fields=M.PAGE_FIELDS), ["page_id"])
     return found.groupBy("page_id").agg(F.count("*").alias("markers"), F.count_if("broken").alias("broken"), F.max("label").alias("label"))
 
 

@@ -19,3 +19,11 @@ def vectorised(returns: str):
         return call
 
     return make
+
+
+def small_batches(spark, rows: int = 1000, size: int = 32 << 20) -> None:
+    """Arrow batches of a bounded number of rows and bytes, as a worker holds one whole; settings of the session that are lower stay."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, most)
