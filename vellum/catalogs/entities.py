@@ -10,6 +10,7 @@ from vellum.functions import text as T
 from vellum.operators import chunks as K
 from vellum.operators import cleanup as C
 from vellum.operators import entities as E
+from vellum.operators.graph import settle
 
 QUERIES, SQL, query = registry()
 
@@ -17,10 +18,14 @@ QUERIES, SQL, query = registry()
 _MENTIONS = r"""mentions AS (SELECT source, doc_id, name, count(*) AS n FROM (SELECT source, doc_id, unnest(regexp_extract_all(regexp_replace(text, '([^\P{L}\x00-\x7F])', '_\1_', 'g'), '\b[A-Z][a-z]{3,}\b')) AS name FROM documents) GROUP BY ALL)"""
 
 
-def _mentions(spark, sf_dir):
+def _found(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     found = F.regexp_extract_all("text", F.lit(r"(?U)\b[A-Z][a-z]{3,}\b"), F.lit(0))
-    return d.select("source", "doc_id", F.explode(found).alias("name")).groupBy("source", "doc_id", "name").agg(F.count("*").alias("n"))
+    return d.select("source", "doc_id", F.explode(found).alias("name"))
+
+
+def _mentions(spark, sf_dir):
+    return _found(spark, sf_dir).groupBy("source", "doc_id", "name").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_MENTIONS} SELECT source, name, sum(n)::BIGINT AS mentions, count(*) AS docs FROM mentions GROUP BY ALL")
@@ -127,8 +132,8 @@ _FULL = f"""
 
 def _people(spark, sf_dir):
     """Entries of three kinds made of the mentions: one person of a surname, two of them, and one of either gender."""
-    m = _mentions(spark, sf_dir).where("source IS NOT NULL").where(~F.lower("name").isin(T.HONORIFICS))
-    n = m.groupBy(F.col("source").alias("book"), "name").agg(F.sum("n").alias("n")).withColumn("r", F.length("name") % 3)
+    m = _found(spark, sf_dir).where("source IS NOT NULL").where(~F.lower("name").isin(T.HONORIFICS))
+    n = m.groupBy(F.col("source").alias("book"), "name").agg(F.count("*").alias("n")).withColumn("r", F.length("name") % 3)
     entry = lambda k, kinds, name, gender, times: F.when(F.col("r").isin(kinds), F.struct(F.lit(k).alias("k"), name.alias("canonical"), F.lit(gender).alias("gender"), (F.col("n") * times).cast("string").alias("occurrences")))
     called = lambda first: F.concat(F.lit(first), "name")
     made = F.array(entry(0, [0, 1, 2], called("Jo "), "male", 5), entry(1, [1], called("Al "), "", 4), entry(2, [0, 1], F.col("name"), "", 1), entry(3, [0], called("Mr. "), "unknown", 2), entry(4, [2], called("Mrs. "), "", 3))
@@ -154,11 +159,11 @@ def surname_attach(spark, sf_dir):
     UNION ALL SELECT book, 'Ghost ' || name, 'Spook ' || name, true FROM nodes WHERE r = 1""")
 def hint_seed(spark, sf_dir):
     """A hint adds names to the entity that shares one; one that nobody shares becomes an entity; one name says nothing."""
-    people = _people(spark, sf_dir)
+    people = settle(_people(spark, sf_dir), "people")
     full = people.where("startswith(canonical, 'Jo ')").select("book", F.expr("substring(canonical, 4)").alias("name")).withColumn("r", F.length("name") % 3)
     names = F.when(F.col("r") == 0, F.array(F.upper("name"), F.concat(F.lit("Zed "), "name"))).when(F.col("r") == 1, F.array(F.concat(F.lit("Ghost "), "name"), F.concat(F.lit("Spook "), "name"))).otherwise(F.array("name"))
     hints = full.select("book", F.lit("characters").alias("category"), F.xxhash64("name").alias("ord"), names.alias("names"))
-    out = E.seed_hints(E.merge_entities(people), hints)
+    out = E.seed_hints(settle(E.merge_entities(people), "entities"), hints)
     shown = F.filter("variants", lambda v: v != F.upper(v))
     return out.select("book", "canonical", F.array_join(shown, ",").alias("variants"), "hint_seeded")
 
@@ -169,7 +174,7 @@ def hint_seed(spark, sf_dir):
     UNION ALL SELECT book, name, 'flagged', 'Al ' || name, array_to_string(list_sort(['Al ' || name, name]), ',') FROM nodes WHERE r = 1""")
 def reconcile_guard(spark, sf_dir):
     """Genders that differ reject a merge, a medium confidence flags it, one known member is no merge; a name of foreign words is not taken."""
-    people = _people(spark, sf_dir)
+    people = settle(_people(spark, sf_dir), "people")
     full = people.where("startswith(canonical, 'Jo ')").select("book", F.expr("substring(canonical, 4)").alias("name")).withColumn("r", F.length("name") % 3)
     called = lambda first: F.concat(F.lit(first), "name")
     group = lambda k, members, canonical, confidence: F.struct(F.lit(k).alias("k"), members.alias("members"), canonical.alias("canonical"), F.lit(confidence).alias("confidence"))
